@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p1_terms, p2_distinctive, p7_neardups, p8_encode, p9_mixture
+from . import p1_terms, p2_distinctive, p3_lookalikes, p4_encoding, p7_neardups, p8_encode, p9_mixture
 from .common import table
 
 
@@ -37,6 +37,36 @@ def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_distinctive.scores(docs).select("doc_id", "term", F.round("score", 6).alias("score"))
 
 
+def _looks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, p3_lookalikes.Lookalikes]:
+    docs = table(spark, sf_dir, "input_docs").select("input_id", "url", F.col("content").alias("text"), "compression")
+    terms = table(spark, sf_dir, "terms").select("term_id", "component_id", F.col("term").alias("text"), F.lit(None).cast("string").alias("compression"))
+    return docs, terms, p3_lookalikes.lookalikes(docs, terms)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, terms, looks = _looks(spark, sf_dir)
+    of_terms = p3_lookalikes.same_look(p3_lookalikes.consistent(terms, looks, ["component_id", "term_id"]), "component_id", "term_id")
+    prints = p3_lookalikes.consistent(docs.where("text <> ''"), looks, ["url", "input_id"], as_prints=True)
+    of_docs = p3_lookalikes.same_look(prints, "url", "input_id")
+    return of_terms.select(F.lit("terms").alias("tab"), "id_a", "id_b").unionByName(of_docs.select(F.lit("input_docs").alias("tab"), "id_a", "id_b"))
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct term of the dictionaries and its consistent form."""
+    _, terms, looks = _looks(spark, sf_dir)
+    return p3_lookalikes.consistent(terms, looks, ["term_id"]).select("term_id", F.col("text").alias("term"), "form").distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "input_docs")
+    return p4_encoding.improbable(docs, p4_encoding.PairModel.of(docs)).select("input_id").distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "input_docs")
+    return p4_encoding.improbable(docs, p4_encoding.PairModel.of(docs), restore=True).distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_neardups.NearDuplicates(table(spark, sf_dir, "input_docs"), 0.7, 3, 20).pairs()
 
@@ -58,7 +88,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_counts, p2_found, p2_scores, p7_found, p7_groups, p8_ids, p9_mix, p9_shares)
+    own = (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_forms, p4_found, p4_restored, p7_found, p7_groups, p8_ids, p9_mix, p9_shares)
     return {f.__name__: f for f in own}
 
 
