@@ -96,7 +96,7 @@ class Lookalikes:
 
     Every code point is joined with the string it looks like, and every string of a letter and an accent with what that
     looks like; joining is transitive. A class is represented by its most frequent member (a string counts as often as
-    its rarest character; of equals, the lesser), so that texts keep their usual form.
+    its rarest character, one with accents stored apart last; of equals, the lesser), so that texts keep their usual form.
     """
 
     def __init__(self, counts: dict[int, int]):
@@ -117,7 +117,7 @@ class Lookalikes:
             groups.setdefault(self._root(s), []).append(s)
         self.rewrite: dict[str, str] = {}
         for group in groups.values():
-            often = {s: min((freq.get(c, 0) for c in s), default=1 << 62) for s in group}
+            often = {s: 0 if any(map(unicodedata.combining, s)) else min((freq.get(c, 0) for c in s), default=1 << 62) for s in group}
             best = min(group, key=lambda s: (-often[s], len(s), s))
             self.rewrite |= {s: best for s in group if s != best and s}
         self.invisible = {ord(s): None for s, r in self.rewrite.items() if not r and len(s) == 1}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p1_terms, p2_distinctive, p3_lookalikes, p4_encoding, p7_neardups, p8_encode, p9_mixture
+from . import p1_terms, p2_distinctive, p3_lookalikes, p4_encoding, p5_stuffed, p6_body, p7_neardups, p8_encode, p9_mixture
 from .common import table
 
 
@@ -67,6 +67,37 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_encoding.improbable(docs, p4_encoding.PairModel.of(docs), restore=True).distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_stuffed.scored(table(spark, sf_dir, "input_docs")).where("stuffed").select("input_id")
+
+
+def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_stuffed.scored(table(spark, sf_dir, "input_docs"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "input_docs").select(
+        F.lit("input_docs").alias("tab"), F.col("input_id").cast("string").alias("rec_key"),
+        F.lower(F.regexp_extract("url", "^[^:/]+://([^/:?#]+)", 1)).alias("host"), "content", "compression",
+    )
+    saved = table(spark, sf_dir, "content_metadata").select(
+        F.lit("content_metadata").alias("tab"), F.col("doc_uri").alias("rec_key"), F.lit("").alias("host"), "content", F.lit(None).cast("string").alias("compression"),
+    )
+    return docs.unionByName(saved)
+
+
+def _stuffed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_found(spark, sf_dir).select(F.lit("input_docs").alias("tab"), F.col("input_id").cast("string").alias("rec_key"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_body.frame_lines(_pages(spark, sf_dir)).join(_stuffed_keys(spark, sf_dir), ["tab", "rec_key"], "left_anti")
+
+
+def p6_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_body.main_bodies(_pages(spark, sf_dir)).join(_stuffed_keys(spark, sf_dir), ["tab", "rec_key"], "left_anti")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_neardups.NearDuplicates(table(spark, sf_dir, "input_docs"), 0.7, 3, 20).pairs()
 
@@ -88,7 +119,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_forms, p4_found, p4_restored, p7_found, p7_groups, p8_ids, p9_mix, p9_shares)
+    own = (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_scores, p6_found, p6_bodies, p7_found, p7_groups, p8_ids, p9_mix, p9_shares)
     return {f.__name__: f for f in own}
 
 
