@@ -108,8 +108,8 @@ class Lookalikes:
             if c.isalpha():
                 for m in marks:
                     whole = "".join(map(look, c + m))
-                    if len(unicodedata.normalize("NFC", whole)) < len(whole):
-                        self._join(c + m, unicodedata.normalize("NFD", whole))
+                    if len(joined := unicodedata.normalize("NFC", whole)) < len(whole):
+                        self._join(c + m, joined)
         for c in [c for c in self.parent if len(c) == 1 and c not in freq]:
             freq[c] = 0
         groups: dict[str, list[str]] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p1_terms, p2_distinctive, p3_lookalikes, p4_encoding, p5_stuffed, p6_body, p7_neardups, p8_encode, p9_mixture
+from . import p1_terms, p10_personal, p2_distinctive, p3_lookalikes, p4_encoding, p5_stuffed, p6_body, p7_neardups, p8_encode, p9_mixture
 from .common import table
 
 
@@ -118,8 +118,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_mixture.shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return p10_personal.personal(docs, p10_personal.Names.of(docs))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select("doc_id", F.inline("found")).distinct()
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select("doc_id", "clean").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_scores, p6_found, p6_bodies, p7_found, p7_groups, p8_ids, p9_mix, p9_shares)
+    own = (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_scores, p6_found, p6_bodies, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_clean)
     return {f.__name__: f for f in own}
 
 
