@@ -1,2 +1,399 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""The queries of the engine's own operators, and the SQL they are held against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestack.functions import hashing, scoring
+from lodestack.functions import html as H
+from lodestack.functions import text as T
+from lodestack.functions import urls as U
+from lodestack.operators import crawl, mutation, spelling
+from lodestack.operators import index as I
+from lodestack.operators import search as S
+from lodestack.operators.tables import written
+from lodestack.plans.compaction import choose
+from lodestack.plans.structured import structured
+
+_QUERY, _PATTERN = "frontier index", "^frost"
+_STRUCTURED = """
+\\/ lantern
+\\/ /\\ honey
+   /\\ \\/ oven
+      \\/ ~ ^ladle
+\\/ -- quay
+   -- harbour
+"""
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a collection; the content is the text, a component holds the documents of a source."""
+    return _table(spark, sf_dir, "documents").select(
+        F.lit("documents").alias("collection"), F.coalesce("source", F.lit("none")).alias("component_id"), "doc_id", "url", F.col("text").alias("content")
+    )
+
+
+def _index(spark: SparkSession, sf_dir: str) -> I.Index:
+    return I.build(_docs(spark, sf_dir))
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> I.Index:
+    return I.build(_docs(spark, sf_dir).withColumn("component_id", F.lit("0")))
+
+
+def _dead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted: the documents in Russian."""
+    own = _table(spark, sf_dir, "documents").where("lang = 'ru'")
+    return own.select(F.lit("documents").alias("collection"), F.lit("0").alias("component_id"), "doc_id")
+
+
+def tokenize_terms(spark, d):
+    return _docs(spark, d).select(F.explode(T.tokens(F.col("content"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+def doc_lengths(spark, d):
+    return _whole(spark, d).docs.select("doc_id", "doc_len")
+
+
+def postings(spark, d):
+    return _whole(spark, d).postings.select("term", "doc_id", "tf")
+
+
+def term_dictionary(spark, d):
+    return _index(spark, d).terms.select("component_id", "term", "doc_freq")
+
+
+def corpus_stats(spark, d):
+    return _index(spark, d).stats.select("component_id", "num_docs", "total_doc_len")
+
+
+def index_reply(spark, d):
+    index = _whole(spark, d)
+    return index.docs.agg(F.count("*").alias("num_docs")).join(F.broadcast(index.postings.agg(F.countDistinct("term").alias("num_terms"))))
+
+
+def index_verify(spark, d):
+    return I.verify(_whole(spark, d))
+
+
+def index_dump(spark, d):
+    return I.dump(_index(spark, d)).select("component_id", "term", "doc_id", "tf")
+
+
+def _ranked(found):
+    return found.select("component_id", "doc_id", "url", F.round("score", 6).alias("score"), "term_count")
+
+
+def bm25_search(spark, d):
+    return _ranked(S.bm25(_whole(spark, d), _QUERY))
+
+
+def bm25_topk(spark, d):
+    return S.bm25(_whole(spark, d), _QUERY).orderBy(F.round("score", 6).desc(), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def bm25_repeated_term(spark, d):
+    return _ranked(S.bm25(_whole(spark, d), "frontier frontier"))
+
+
+def bm25_floor_topk(spark, d):
+    return S.component_top(S.bm25(_index(spark, d), "index"), 5).select("component_id", "doc_id", F.floor("score").alias("points"))
+
+
+def multi_component_search(spark, d):
+    return _ranked(S.bm25(_index(spark, d), _QUERY))
+
+
+def global_stats_search(spark, d):
+    return _ranked(S.bm25(_index(spark, d), _QUERY, global_stats=True))
+
+
+def url_best(spark, d):
+    return S.top(S.bm25(_index(spark, d), "index")).select("url", F.round("score", 6).alias("score"))
+
+
+def search_with_tombstones(spark, d):
+    return _ranked(S.bm25(_whole(spark, d), "index", _dead(spark, d)))
+
+
+def scored_regex_exact_one(spark, d):
+    return _ranked(S.bm25_pattern(_whole(spark, d), _PATTERN))
+
+
+def unscored_all(spark, d):
+    return S.all_terms(_whole(spark, d), _QUERY).select("doc_id", "url")
+
+
+def unscored_regex(spark, d):
+    return S.any_match(_whole(spark, d), "^(le|no)[a-z]*tu$").select("doc_id", "url")
+
+
+def regex_term_scan(spark, d):
+    return S.term_scan(_whole(spark, d), _PATTERN).select("term", "doc_freq")
+
+
+def structured_and_or_sub(spark, d):
+    index = _whole(spark, d)
+    stored = I.Index(written(index.docs, "docs"), written(index.postings, "postings"))  # every leaf reads it
+    return structured(_STRUCTURED, stored).select("doc_id", "url")
+
+
+def spelling_suggestions(spark, d):
+    return spelling.suggestions(_whole(spark, d), "frontir Ladel quai", 2).where(F.col("suggestion").rlike("^[ -~]*$"))
+
+
+def doc_status(spark, d):
+    """Which of the urls of the deleted records are in which state, over the components of the whole collection."""
+    dead = _dead(spark, d)
+    asked = _table(spark, d, "documents").where("url IS NOT NULL AND lang IN ('ru', 'ja')").select("url")
+    index = _whole(spark, d)
+    return mutation.status_counts(mutation.status(index, asked, dead)).groupBy("status").agg(F.sum("components").alias("n"))
+
+
+def _halves(spark, d):
+    docs = _docs(spark, d).where("url IS NOT NULL")
+    a = docs.where("component_id IN ('crawl', 'wiki', 'forum')").withColumn("component_id", F.lit("a"))
+    return I.build(a), I.build(docs.withColumn("component_id", F.lit("b")))
+
+
+def merge_components(spark, d):
+    a, b = _halves(spark, d)
+    m = mutation.merged(a, b, "documents", "m")
+    return m.postings.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("occurrences"))
+
+
+def merge_url_dedupe(spark, d):
+    a, b = _halves(spark, d)
+    return mutation.merged(a, b, "documents", "m").docs.select("url", "doc_len")
+
+
+def merged_stats(spark, d):
+    a, b = _halves(spark, d)
+    return mutation.merged(a, b, "documents", "m").stats.select("component_id", "num_docs", "total_doc_len")
+
+
+def collection_list(spark, d):
+    docs = _table(spark, d, "components").select(F.col("collection_name").alias("collection"), "component_id", F.xxhash64("component_id").alias("doc_id"))
+    return mutation.collections(I.Index(docs, docs)).select("collection", "components")
+
+
+def fib_compaction_plan(spark, d):
+    """The pair each collection of components would merge next."""
+    pair = "struct<a:string,b:string>"
+
+    @F.pandas_udf(pair)
+    def plan(rows):
+        import pandas as pd
+
+        got = [choose([(int(r["n"]), r["id"]) for r in x]) for x in rows]
+        return pd.DataFrame({"a": [g[0][1] if g else None for g in got], "b": [g[1][1] if g else None for g in got]})
+
+    own = _table(spark, d, "components").groupBy("collection_name").agg(F.collect_list(F.struct(F.col("num_docs").alias("n"), F.col("component_id").alias("id"))).alias("parts"))
+    return own.select("collection_name", plan("parts").alias("p")).select("collection_name", "p.a", "p.b")
+
+
+def content_dedupe(spark, d):
+    return crawl.unique_bodies(_table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "md5")
+
+
+def url_hosts(spark, d):
+    return _table(spark, d, "documents").select(U.host(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("n"))
+
+
+def allowed_urls(spark, d):
+    urls = _table(spark, d, "input_docs").select("url").distinct()
+    return crawl.allowed(urls, [U.allowed_pattern("https://brackenfold.example"), U.allowed_pattern("https://www.zomufe.example")])
+
+
+def host_schedule(spark, d):
+    urls = _table(spark, d, "input_docs").select("url")
+    return crawl.schedule(urls, "2024-01-01 00:00:00").select("host", "place", F.unix_micros("at").alias("at_micros")).groupBy("host").agg(F.max("place").alias("urls"), F.max("at_micros").alias("last_micros"))
+
+
+def page_links(spark, d):
+    pages = _table(spark, d, "input_docs").where("compression IS NULL OR lower(trim(compression)) <> 'zlib'").select("url", F.col("content").alias("html"))
+    return crawl.page_links(pages).groupBy("page").agg(F.count("*").alias("n"))
+
+
+def page_titles(spark, d):
+    docs = _table(spark, d, "documents").where("text LIKE '%<title>%'")
+    return docs.select("doc_id", H.title(F.col("text"), F.col("url")).alias("title"))
+
+
+def page_meta(spark, d):
+    docs = _table(spark, d, "documents").where("text LIKE '%<meta name=%'")
+    return docs.select("doc_id", F.explode(H.meta_pairs(F.col("text"))).alias("name", "content"))
+
+
+def result_display(spark, d):
+    """Title and description of saved files, by their metadata."""
+    rows = _table(spark, d, "content_metadata").select("doc_uri", F.col("metadata")["title"].alias("t"), F.col("metadata")["description"].alias("s")).distinct()
+    meta = F.map_from_arrays(F.array(F.lit("uri"), F.lit("title"), F.lit("description")), F.array("doc_uri", "t", "s"))
+    title, text, path = H.shown(meta)
+    return rows.select(title.alias("title"), text.alias("description"), path.alias("path"))
+
+
+def search_with_metadata(spark, d):
+    docs = _docs(spark, d).where("url IS NOT NULL").withColumn("component_id", F.lit("0"))
+    meta = docs.where("content LIKE '%<title>%'").select("collection", "component_id", "url", H.metadata(F.col("content"), F.col("url")).alias("meta")).dropDuplicates(["url"])
+    found = S.with_metadata(S.all_terms(I.build(docs), "html").unionByName(S.all_terms(I.build(docs), "title")).distinct(), meta)
+    return found.select("doc_id", F.coalesce(F.col("meta")["title"], F.lit("Untitled")).alias("title"))
+
+
+def cached_copy(spark, d):
+    content = _docs(spark, d)
+    url = "https://docs.gudapa.example/none"
+    return S.cached_copy(content, url)
+
+
+def doc_url_exists(spark, d):
+    first = _docs(spark, d).agg(F.max("url")).first()[0]
+    return S.docs_by_url(_whole(spark, d), first).select("doc_id", "url")
+
+
+def num_docs(spark, d):
+    return _whole(spark, d).docs.agg(F.count("*").alias("num_docs"))
+
+
+def file_cache(spark, d):
+    rows = _table(spark, d, "content_metadata").select("doc_uri", "content", "written_at")
+    return mutation.first_write_wins(None, rows, "doc_uri", "written_at").select("doc_uri", F.length("content").alias("n_chars"))
+
+
+def file_cache_upsert(spark, d):
+    """The web pages of the cache, then all files: what was there stays."""
+    rows = _table(spark, d, "content_metadata").select("doc_uri", "content", "written_at")
+    before = mutation.first_write_wins(None, rows.where("doc_uri LIKE '%.html'").withColumn("content", F.lit("kept")), "doc_uri", "written_at")
+    return mutation.first_write_wins(before, rows, "doc_uri", "written_at").groupBy((F.col("content") == "kept").alias("kept")).agg(F.count("*").alias("n"))
+
+
+def file_hashes(spark, d):
+    return _table(spark, d, "content_metadata").where("content IS NOT NULL").select("doc_uri", hashing.file_hash(F.encode("content", "UTF-8")).alias("hash")).distinct()
+
+
+def download_list(spark, d):
+    paths = _table(spark, d, "content_metadata").select(F.col("doc_uri").alias("path")).distinct()
+    have = paths.where("path LIKE '%.pdf'").select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    return crawl.not_downloaded(paths, have).select("path", "command")
+
+
+def wait_times(spark, d):
+    e = _table(spark, d, "events")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return e.select("event_id", scoring.wait_micros(now, F.col("ts").cast("timestamp")).alias("wait"))
+
+
+def collection_names(spark, d):
+    c = _table(spark, d, "components").select("collection_name").distinct()
+    return c.select("collection_name", T.valid_collection(F.col("collection_name")).alias("valid"))
+
+
+_OWN = (
+    tokenize_terms, doc_lengths, postings, term_dictionary, corpus_stats, index_reply, index_verify, index_dump, bm25_search, bm25_topk,
+    bm25_repeated_term, bm25_floor_topk, multi_component_search, global_stats_search, url_best, search_with_tombstones,
+    scored_regex_exact_one, unscored_all, unscored_regex, regex_term_scan, structured_and_or_sub, spelling_suggestions, doc_status,
+    merge_components, merge_url_dedupe, merged_stats, collection_list, fib_compaction_plan, content_dedupe, url_hosts, allowed_urls,
+    host_schedule, page_links, page_titles, page_meta, result_display, search_with_metadata, cached_copy, doc_url_exists, num_docs,
+    file_cache, file_cache_upsert, file_hashes, download_list, wait_times, collection_names,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _OWN}
+
+
+def _tokens(of: str) -> str:
+    """SQL for the terms of a text: a run in camel case gives its parts and the whole."""
+    cut = "string_split(regexp_replace(w, '(\\p{Ll})(\\p{Lu})', '\\1 \\2', 'g'), ' ')"
+    return f"flatten(list_transform(regexp_extract_all(coalesce({of}, ''), '\\p{{L}}+|\\p{{N}}+'), lambda w: CASE WHEN len({cut}) > 1 THEN list_transform(list_append({cut}, w), lambda p: lower(p)) ELSE [lower(w)] END))"
+
+
+_TOK = f"""tok AS (SELECT doc_id, coalesce(url, '') AS url, coalesce(source, 'none') AS source, lang, list_concat({_tokens('url')}, {_tokens('text')}) AS tokens FROM documents),
+docs AS (SELECT *, len(tokens) AS doc_len FROM tok),
+posts AS (SELECT source, doc_id, term, count(*) AS tf FROM (SELECT source, doc_id, unnest(tokens) AS term FROM tok) GROUP BY ALL)"""
+
+
+def _bm25(terms: list[str], component: str = "'0'", where: str = "true", stats: str | None = None) -> str:
+    """SQL of a ranked search; repeated terms count again."""
+    given = ", ".join(f"('{t}')" for t in terms)
+    by = stats or component
+    return f"""WITH {_TOK}, q AS (SELECT term, count(*) AS times FROM (VALUES {given}) v(term) GROUP BY term),
+d AS (SELECT *, {component} AS component_id, {by} AS s FROM docs),
+p AS (SELECT posts.*, d.component_id, d.s, d.url, d.doc_len, d.lang FROM posts JOIN d USING (doc_id) WHERE term IN (SELECT term FROM q)),
+st AS (SELECT s, count(*) AS n, sum(doc_len) AS total FROM d GROUP BY s),
+df AS (SELECT s, term, count(*) AS df FROM p GROUP BY ALL),
+found AS (SELECT p.component_id, p.doc_id, any_value(p.url) AS url, CAST(sum(q.times) AS INT) AS term_count,
+sum(q.times * ln((st.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * (p.tf * 2.2::DOUBLE) / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (p.doc_len / (st.total // st.n)::DOUBLE)))) AS score
+FROM p JOIN q USING (term) JOIN df ON df.s = p.s AND df.term = p.term JOIN st ON st.s = p.s WHERE {where}
+GROUP BY p.component_id, p.doc_id HAVING sum(q.times) = {len(terms)})"""
+
+
+_RANKED = "SELECT component_id, doc_id, url, round(score, 6) AS score, term_count FROM found"
+_HAS = "SELECT doc_id FROM posts WHERE term = '{}'"
+_PART = "u.url IS NOT NULL"
+_MERGED = f"""WITH {_TOK}, both_ AS (SELECT d.doc_id, d.url, d.doc_len, CASE WHEN d.source IN ('crawl', 'wiki', 'forum') THEN 0 ELSE 1 END AS side FROM docs d JOIN documents u USING (doc_id) WHERE {_PART}),
+kept AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY url ORDER BY side, doc_id) = 1)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    host = "lower(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), ''))"
+    return {
+        "tokenize_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest({_tokens('text')}) AS term FROM documents) GROUP BY term",
+        "doc_lengths": f"WITH {_TOK} SELECT doc_id, doc_len FROM docs",
+        "postings": f"WITH {_TOK} SELECT term, doc_id, tf FROM posts",
+        "term_dictionary": f"WITH {_TOK} SELECT source AS component_id, term, count(*) AS doc_freq FROM posts GROUP BY ALL",
+        "corpus_stats": f"WITH {_TOK} SELECT source AS component_id, count(*) AS num_docs, CAST(sum(doc_len) AS BIGINT) AS total_doc_len FROM docs GROUP BY ALL",
+        "index_reply": f"WITH {_TOK} SELECT (SELECT count(*) FROM docs) AS num_docs, (SELECT count(DISTINCT term) FROM posts) AS num_terms",
+        "index_verify": "SELECT unnest(['posting repeated', 'frequency not positive', 'term empty', 'record repeated', 'posting of no record', 'length is not the sum of frequencies']) AS \"check\", 0 AS violations",
+        "index_dump": f"WITH {_TOK} SELECT source AS component_id, term, doc_id, tf FROM posts",
+        "bm25_search": _bm25(["frontier", "index"]) + _RANKED,
+        "bm25_topk": _bm25(["frontier", "index"]) + "SELECT doc_id, round(score, 6) AS score FROM found ORDER BY round(score, 6) DESC, doc_id LIMIT 10",
+        "bm25_repeated_term": _bm25(["frontier", "frontier"]) + _RANKED,
+        "bm25_floor_topk": _bm25(["index"], "source") + "SELECT component_id, doc_id, CAST(floor(score) AS BIGINT) AS points FROM found QUALIFY row_number() OVER (PARTITION BY component_id ORDER BY floor(score) DESC, doc_id) <= 5",
+        "multi_component_search": _bm25(["frontier", "index"], "source") + _RANKED,
+        "global_stats_search": _bm25(["frontier", "index"], "source", stats="'all'") + _RANKED,
+        "url_best": _bm25(["index"], "source") + "SELECT url, round(max(score), 6) AS score FROM found GROUP BY url",
+        "search_with_tombstones": _bm25(["index"], where="coalesce(p.lang, '') <> 'ru'") + _RANKED,
+        "scored_regex_exact_one": _bm25(["index"]).split(", q AS")[0] + """, d AS (SELECT * FROM docs), p AS (SELECT * FROM posts WHERE regexp_matches(term, '^frost')),
+st AS (SELECT count(*) AS n, sum(doc_len) AS total FROM d), df AS (SELECT term, count(*) AS df FROM p GROUP BY ALL)
+SELECT '0' AS component_id, d.doc_id, any_value(d.url) AS url, CAST(1 AS INT) AS term_count,
+round(sum(ln((st.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) * (p.tf * 2.2::DOUBLE) / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (d.doc_len / (st.total // st.n)::DOUBLE)))), 6) AS score
+FROM p JOIN d USING (doc_id) JOIN df USING (term), st GROUP BY d.doc_id HAVING count(*) = 1""",
+        "unscored_all": f"WITH {_TOK} SELECT doc_id, url FROM docs WHERE doc_id IN ({_HAS.format('frontier')}) AND doc_id IN ({_HAS.format('index')})",
+        "unscored_regex": f"WITH {_TOK} SELECT doc_id, url FROM docs WHERE doc_id IN (SELECT doc_id FROM posts WHERE regexp_matches(term, '^(le|no)[a-z]*tu$'))",
+        "regex_term_scan": f"WITH {_TOK} SELECT term, count(*) AS doc_freq FROM posts WHERE regexp_matches(term, '^frost') GROUP BY term",
+        "structured_and_or_sub": f"""WITH {_TOK}, hits AS (({_HAS.format('lantern')}) UNION (({_HAS.format('honey')}) INTERSECT (({_HAS.format('oven')}) UNION SELECT doc_id FROM posts WHERE regexp_matches(term, '^ladle')))
+UNION (({_HAS.format('quay')}) EXCEPT ({_HAS.format('harbour')}))) SELECT doc_id, url FROM docs WHERE doc_id IN (SELECT doc_id FROM hits)""",
+        "spelling_suggestions": f"""WITH {_TOK}, v AS (SELECT DISTINCT term FROM posts WHERE regexp_full_match(term, '[ -~]*'))
+SELECT q AS query_term, CAST(levenshtein(q, term) AS INT) AS dist, term AS suggestion FROM v, (VALUES ('frontir'), ('ladel'), ('quai')) a(q) WHERE levenshtein(q, term) <= 2""",
+        "doc_status": """WITH asked AS (SELECT DISTINCT url FROM documents WHERE url IS NOT NULL AND lang IN ('ru', 'ja')),
+one AS (SELECT url, count(*) FILTER (coalesce(lang, '') = 'ru') AS gone, count(*) AS n FROM documents WHERE url IN (SELECT url FROM asked) GROUP BY url)
+SELECT CASE WHEN gone = n THEN 'DELETED' ELSE 'PRESENT' END AS status, count(*) AS n FROM one GROUP BY ALL""",
+        "merge_components": _MERGED + "SELECT term, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS occurrences FROM posts JOIN kept USING (doc_id) GROUP BY term",
+        "merge_url_dedupe": _MERGED + "SELECT url, doc_len FROM kept",
+        "merged_stats": _MERGED + "SELECT 'm' AS component_id, count(*) AS num_docs, CAST(sum(doc_len) AS BIGINT) AS total_doc_len FROM kept",
+        "collection_list": "SELECT collection_name AS collection, count(DISTINCT component_id) AS components FROM components GROUP BY ALL",
+        "content_dedupe": "SELECT min(doc_id) AS doc_id, md5(text) AS md5 FROM documents WHERE text IS NOT NULL GROUP BY md5(text)",
+        "url_hosts": f"SELECT {host} AS host, count(*) AS n FROM documents GROUP BY ALL",
+        "allowed_urls": "SELECT DISTINCT url FROM input_docs WHERE regexp_matches(url, '^https://(?:[^/?#]+\\.)?brackenfold\\.example') OR regexp_matches(url, '^https://(?:[^/?#]+\\.)zomufe\\.example')",
+        "host_schedule": f"SELECT {host} AS host, count(DISTINCT url) AS urls, 1704067200000000 + (count(DISTINCT url) - 1) * 400000 AS last_micros FROM input_docs WHERE {host} IS NOT NULL GROUP BY ALL",
+        "page_titles": "SELECT doc_id, trim(regexp_extract(text, '<title>([^<]*)</title>', 1)) AS title FROM documents WHERE text LIKE '%<title>%'",
+        "page_meta": """SELECT doc_id, m.name AS name, m.content AS content FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '<meta name="[^"]*" content="[^"]*"'), lambda x: {'name': regexp_extract(x, 'name="([^"]*)"', 1), 'content': regexp_extract(x, 'content="([^"]*)"', 1)})) AS m FROM documents WHERE text LIKE '%<meta name=%')""",
+        "result_display": "SELECT DISTINCT coalesce(metadata['title'], 'Untitled') AS title, coalesce(metadata['description'], 'No description') AS description, regexp_replace(doc_uri, '^.*//', '') AS path FROM content_metadata",
+        "search_with_metadata": f"WITH {_TOK} SELECT d.doc_id, CASE WHEN u.text LIKE '%<title>%' THEN trim(regexp_extract(u.text, '<title>([^<]*)</title>', 1)) ELSE 'Untitled' END AS title FROM docs d JOIN documents u USING (doc_id) WHERE u.url IS NOT NULL AND (d.doc_id IN ({_HAS.format('html')}) OR d.doc_id IN ({_HAS.format('title')}))",
+        "cached_copy": "SELECT 'https://docs.gudapa.example/none' AS url, coalesce((SELECT max(text) FROM documents WHERE url = 'https://docs.gudapa.example/none'), '{not found!}') AS content",
+        "doc_url_exists": "SELECT doc_id, url FROM documents WHERE url = (SELECT max(url) FROM documents)",
+        "num_docs": "SELECT count(*) AS num_docs FROM documents",
+        "file_cache": "SELECT doc_uri, any_value(length(content)) AS n_chars FROM content_metadata WHERE doc_uri IS NOT NULL GROUP BY doc_uri",
+        "file_cache_upsert": "SELECT k AS kept, count(*) AS n FROM (SELECT DISTINCT doc_uri, CASE WHEN doc_uri LIKE '%.html' THEN true WHEN content IS NULL THEN NULL ELSE false END AS k FROM content_metadata WHERE doc_uri IS NOT NULL) GROUP BY k",
+        "download_list": "SELECT DISTINCT doc_uri AS path, 'wget -c ' || doc_uri AS command FROM content_metadata WHERE doc_uri NOT LIKE '%.pdf'",
+        "wait_times": "SELECT event_id, CASE WHEN epoch_us(ts) > 1704067200000000 THEN epoch_us(ts) - 1704067200000000 END AS wait FROM events",
+        "collection_names": "SELECT DISTINCT collection_name, regexp_full_match(collection_name, '[\\p{L}\\p{N}-]*') AS valid FROM components",
+    }
