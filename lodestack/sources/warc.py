@@ -126,7 +126,7 @@ def to_docs(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     rows = entries.select("path", F.col("headers")["WARC-Target-URI"].alias("url"), F.col("headers")["WARC-Type"].alias("kind"), "error", "headers", "body")
     rows = rows.mapInArrow(run, "path string, url string, kind string, error string, content string, bad string")
-    reason = F.coalesce("error", F.when(~(F.col("kind") <=> "response"), "not a response"), F.when(F.col("url").isNull(), "no target"), "bad")
+    reason = F.coalesce("error", F.when(~F.col("kind").eqNullSafe("response"), "not a response"), F.when(F.col("url").isNull(), "no target"), "bad")
     rows = rows.withColumn("reason", reason)
     return rows.where("reason IS NULL").select("url", "content"), rows.where("reason IS NOT NULL").select("path", "url", "reason")
 
