@@ -71,12 +71,6 @@ SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>")
 _LATIN = {other: line.split()[0] for line in LOOKALIKES.strip().splitlines() for other in line.split()[1:]}
 
 
-def skeleton_is_ascii(c: str) -> bool:
-    """Whether a character beyond ASCII only looks like one of ASCII or like none."""
-    c = unicodedata.normalize("NFKC", c)
-    return c.isascii() or c in INVISIBLE or c in SPACES or _LATIN.get(c, c).isascii()
-
-
 def look(c: str) -> str:
     """What a character looks like: its decomposition, as far as only width, kind of space, joined letters and the
     storage of accents are undone, of Latin letters where there are such; nothing for what can't be seen."""
@@ -91,6 +85,11 @@ def look(c: str) -> str:
     return "".join(_LATIN.get(x, x) for x in unicodedata.normalize("NFD", c))
 
 
+def skeleton_is_ascii(c: str) -> bool:
+    """Whether a character beyond ASCII only looks like some of ASCII or like nothing."""
+    return look(c).isascii()
+
+
 class Lookalikes:
     """The classes of strings and code points of a corpus that look alike, and the rewriting of each to one of them.
 
