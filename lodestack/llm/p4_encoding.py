@@ -25,6 +25,7 @@ CACHE = 200_000
 
 # Encodings that text is wrongly read with, and those it may have been written in.
 WRONG = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250", "cp866")
+LETTERS_HIGH = ("cp1251", "koi8_r", "cp1250", "cp866")  # their letters are first bytes of UTF-8
 RIGHT = {
     "cp1252": ("cp1251", "koi8_r", "cp866", "mac_roman", "cp850", "cp932", "euc_jp"),
     "latin-1": ("cp1251", "koi8_r", "cp866", "cp850", "cp932", "euc_jp"),
@@ -223,10 +224,13 @@ def _restored(word: str, model: PairModel) -> list[tuple[tuple[str, str], str]]:
     for wrong in WRONG:
         at, parts = 0, []
         for m in _UTF8[wrong].finditer(word):
+            if wrong in LETTERS_HIGH and len(m.group()) < 4 and any(c.isspace() or unicodedata.category(c) == "Cf" for c in m.group()):
+                continue  # a capital before a hard blank or soft hyphen
             if (x := reread(m.group(), wrong, "utf-8")) and _readable(x) and (len(x) > 1 or model.met(word[m.start() - 1 : m.start()], x, word[m.end() : m.end() + 1])):
                 parts += [word[at : m.start()], x]
                 at = m.end()
-        if parts and (mean := model.of_word(fixed := "".join(parts) + word[at:])[0]) > best:
+        least = best if wrong not in LETTERS_HIGH else max(best, raw[0] + BETTER)
+        if parts and (mean := model.of_word(fixed := "".join(parts) + word[at:])[0]) > least:
             best, got = mean, [((wrong, "utf-8"), fixed)]
     if not got:
         got = _bytewise(word, raw[0], model)
