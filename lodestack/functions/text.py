@@ -13,13 +13,21 @@ HUMP = r"(?<=\p{IsLowercase})(?=\p{IsUppercase})"
 _WORD, _HUMP = regex.compile(r"\p{Alphabetic}+|\p{N}+"), regex.compile(r"(?<=\p{Lowercase})(?=\p{Uppercase})", regex.V1)
 
 
+_MARK = "\x01"
+
+
 def tokens(text: Column) -> Column:
     """The terms of a text, in order: its runs of letters and its runs of digits in small letters; of a run in camel case
-    the first part, the whole and the other parts. Null gives no terms."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(1))
-    parts = F.transform(words, lambda w: F.split(w, HUMP))
+    the first part, the whole and the other parts. Null gives no terms.
+
+    One pass marks where camel case is cut, so that words are looked at one by one only in texts that have any.
+    """
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _MARK, " "), HUMP, _MARK)
+    words = lambda t: F.regexp_extract_all(t, F.lit(rf"((?:\p{{IsAlphabetic}}|{_MARK})+|\p{{N}}+)"), F.lit(1))
     whole = lambda p: F.concat(F.slice(p, 1, 1), F.array(F.array_join(p, "")), F.slice(p, 2, F.size(p) - 1))
-    return F.transform(F.flatten(F.transform(parts, lambda p: F.when(F.size(p) > 1, whole(p)).otherwise(p))), F.lower)
+    parts = lambda w: F.when(F.contains(w, F.lit(_MARK)), F.transform(F.array(F.split(w, _MARK)), whole)[0]).otherwise(F.array(w))
+    cut = lambda t: F.when(F.contains(t, F.lit(_MARK)), F.flatten(F.transform(words(t), parts))).otherwise(words(t))
+    return F.transform(F.transform(F.array(marked), cut)[0], F.lower)
 
 
 def tokenize(text: str | None) -> list[str]:

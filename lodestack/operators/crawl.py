@@ -36,9 +36,9 @@ def unique_bodies(pages: DataFrame, body: str = "content", order: str = "url") -
 
 
 def schedule(urls: DataFrame, start: str, delay: float = DELAY) -> DataFrame:
-    """(url, host, place, at): the k-th url of a host, in order of urls, may be fetched from start + (k - 1) delays on. Each
-    url once; urls without a host can't be fetched. A host's places are counted in two steps, by ranges of its urls and
-    within them, so that no host is in one task."""
+    """(url, host, place, at): the k-th url of a host, in an order by their prints, may be fetched from start + (k - 1)
+    delays on. Each url once; urls without a host can't be fetched. A host's places are counted in two steps, over 256
+    parts of its urls and within them, so that no host is in one task."""
     own = urls.select("url").distinct().withColumn("host", U.host(F.col("url"))).where("host IS NOT NULL")
     own = own.withColumn("part", F.substring(F.md5("url"), 1, 2))
     sizes = own.groupBy("host", "part").agg(F.count("*").alias("n"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.text import tokens
 
+from .tables import written
+
 KEYS = ["collection", "component_id"]
 
 
@@ -50,9 +52,10 @@ def tokenized(docs: DataFrame) -> DataFrame:
     return docs.select(collection.alias("collection"), component.alias("component_id"), doc_id.cast("bigint").alias("doc_id"), url.alias("url"), terms.alias("tokens"))
 
 
-def build(docs: DataFrame) -> Index:
-    """The index of a batch of records. Postings are combined before they are shuffled, by record and term."""
-    own = tokenized(docs)
+def build(docs: DataFrame, stored: bool = False) -> Index:
+    """The index of a batch of records. Postings are combined before they are shuffled, by record and term. An index that
+    is read more than once is stored: its terms are written to the shared folder, so that texts are cut only once."""
+    own = written(tokenized(docs), "tokens") if stored else tokenized(docs)
     postings = own.select(*KEYS, "doc_id", F.explode("tokens").alias("term")).groupBy(*KEYS, "term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
     return Index(own.select(*KEYS, "doc_id", "url", F.size("tokens").alias("doc_len")), postings)
 

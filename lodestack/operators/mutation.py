@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .index import KEYS, Index
 
+#: Urls whose status may be asked for at once.
+MOST_ASKED = 10_000
 TOMBSTONES = "collection string, component_id string, doc_id bigint"
 
 
@@ -22,8 +24,10 @@ def status(index: Index, urls: DataFrame, tombstones: DataFrame) -> DataFrame:
     """(url, keys, status) of each url in each component: MISSING, PRESENT or DELETED (all its records are)."""
     components = index.docs.select(*KEYS).distinct()
     asked = urls.select("url").distinct()
-    # a row for each asked url and component: both lists are short, the components' by compaction
-    every = components.join(F.broadcast(asked), F.lit(True), "inner") if asked.limit(10_001).count() <= 10_000 else components.crossJoin(asked)
+    if asked.limit(MOST_ASKED + 1).count() > MOST_ASKED:
+        raise ValueError(f"more than {MOST_ASKED} urls at once")
+    # the answer has a row for each asked url and component: a short list against what compaction keeps few
+    every = components.join(F.broadcast(asked), F.lit(True), "inner")
     dead = tombstones.select(*KEYS, "doc_id").withColumn("dead", F.lit(1))
     own = index.docs.join(asked, "url", "left_semi").join(dead, [*KEYS, "doc_id"], "left").groupBy(*KEYS, "url").agg(F.count("*").alias("n"), F.count("dead").alias("gone"))
     what = F.when(F.col("n").isNull(), "MISSING").when(F.col("gone") == F.col("n"), "DELETED").otherwise("PRESENT")
@@ -43,11 +47,13 @@ def without_deleted(index: Index, tombstones: DataFrame | None) -> Index:
 
 def merged(a: Index, b: Index, collection: str, component_id: str, tombstones: DataFrame | None = None) -> Index:
     """One component of two. Deleted records go first, with their postings; then each url keeps one record, of a before
-    b and of the least doc_id; a doc_id that both have is given anew to a's record. Of an empty b, a is left."""
+    b and of the least doc_id (records without url all stay); a doc_id that both have is given anew to a's record. Of an empty b, a is left."""
     a, b = without_deleted(a, tombstones), without_deleted(b, tombstones)
     docs = a.docs.withColumn("side", F.lit(0)).unionByName(b.docs.withColumn("side", F.lit(1)))
-    first = W.partitionBy("url").orderBy("side", *KEYS, "doc_id")
-    kept = docs.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+    own = F.when(F.col("url") == "", F.concat_ws("\\0", "side", *KEYS, "doc_id")).otherwise(F.col("url"))
+    docs = docs.withColumn("own", own)
+    first = docs.groupBy("own").agg(F.min(F.struct("side", *KEYS, "doc_id")).alias("first")).select("own", "first.*")
+    kept = docs.join(first, ["own", "side", *KEYS, "doc_id"], "left_semi").drop("own")
     shared = W.partitionBy("doc_id")
     fresh = F.when((F.count("*").over(shared) > 1) & (F.col("side") == 0), F.xxhash64("url", "doc_id", F.lit(component_id))).otherwise(F.col("doc_id"))
     kept = kept.withColumn("new_id", fresh)

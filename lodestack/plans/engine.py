@@ -49,7 +49,7 @@ class SearchEngine:
         if not all(c.isalnum() or c == "-" for c in collection):
             raise ValueError(f"not a collection name: {collection}")
         own = docs.select("url", "content").withColumn("collection", F.lit(collection)).withColumn("component_id", F.lit(str(uuid.uuid4())))
-        got = I.write(I.build(own), self.root)
+        got = I.write(I.build(own, stored=True), self.root)
         if got == (0, 0):
             return got
         own.write.mode("append").partitionBy(*I.KEYS).parquet(f"{self.root}/content")

@@ -14,7 +14,7 @@ from lodestack.functions import urls as U
 from lodestack.operators import crawl, mutation, spelling
 from lodestack.operators import index as I
 from lodestack.operators import search as S
-from lodestack.operators.tables import written
+from lodestack.operators.tables import spread, written
 from lodestack.plans.compaction import choose
 from lodestack.plans.structured import structured
 
@@ -35,17 +35,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a collection; the content is the text, a component holds the documents of a source."""
-    return _table(spark, sf_dir, "documents").select(
+    return spread(_table(spark, sf_dir, "documents")).select(
         F.lit("documents").alias("collection"), F.coalesce("source", F.lit("none")).alias("component_id"), "doc_id", "url", F.col("text").alias("content")
     )
 
 
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.build(_docs(spark, sf_dir))
+    return I.build(_docs(spark, sf_dir), stored=True)
 
 
 def _whole(spark: SparkSession, sf_dir: str) -> I.Index:
-    return I.build(_docs(spark, sf_dir).withColumn("component_id", F.lit("0")))
+    return I.build(_docs(spark, sf_dir).withColumn("component_id", F.lit("0")), stored=True)
 
 
 def _dead(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ def doc_status(spark, d):
 def _halves(spark, d):
     docs = _docs(spark, d).where("url IS NOT NULL")
     a = docs.where("component_id IN ('crawl', 'wiki', 'forum')").withColumn("component_id", F.lit("a"))
-    return I.build(a), I.build(docs.withColumn("component_id", F.lit("b")))
+    return I.build(a, stored=True), I.build(docs.withColumn("component_id", F.lit("b")), stored=True)
 
 
 def merge_components(spark, d):
