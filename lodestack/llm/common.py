@@ -11,16 +11,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.operators.tables import shared_dir, written
+from lodestack.operators.tables import shared_dir, spread, written
 
 __all__ = ["shared_dir", "written"]
 
+#: Tables of which each row is much work.
+TEXTS = ("input_docs", "content_metadata", "documents")
 #: Characters that a worker lays out as one array at a time; bounds its memory whatever the batch.
 CHUNK_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def decoded(content: str | None, compression: str | None) -> str | None:
