@@ -118,3 +118,29 @@ def post_each(docs: DataFrame, post: Callable[[dict], None]) -> DataFrame:
             yield pa.record_batch([batch["url"], pa.array(errors, pa.string())], names=["url", "error"])
 
     return docs.select("url", "content").mapInArrow(run, "url string, error string")
+
+
+def extracted(spark: SparkSession, path: str, extract: Callable[[str, bytes], tuple[str | None, dict[str, str]]] | None = None) -> DataFrame:
+    """(doc_uri, content, metadata) of files, by a function of name and bytes. The usual one takes what is text, as UTF-8;
+    anything else has null content and says so in its metadata."""
+    read = extract or _plain
+
+    def run(batches):
+        for batch in batches:
+            names = batch["path"].to_pylist()
+            got = [read(n, b) for n, b in zip(names, batch["content"].to_pylist())]
+            meta = pa.array([list(m.items()) for _, m in got], pa.map_(pa.string(), pa.string()))
+            yield pa.record_batch([pa.array([n.replace("file:", "file://", 1) if not n.startswith("file://") else n for n in names]), pa.array([t for t, _ in got], pa.string()), meta], names=["doc_uri", "content", "metadata"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "doc_uri string, content string, metadata map<string,string>")
+
+
+def _plain(name: str, data: bytes) -> tuple[str | None, dict[str, str]]:
+    import mimetypes
+
+    about = {"resourceName": name.rsplit("/", 1)[-1], "Content-Type": mimetypes.guess_type(name)[0] or "application/octet-stream"}
+    try:
+        return data.decode("utf-8"), about
+    except UnicodeDecodeError:
+        return None, about | {"error": "not UTF-8"}

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 # The line ends, and the headers that say how a body is kept.
 END = b"\r\n"
 COMPRESSION, LENGTH, PLAIN_LENGTH = "Compression-Mode", "Content-Length", "Uncompressed-Content-Length"
+PACKED, NOT_PACKED = "contentonly", "none"
 
 SCHEMA = "version string, headers map<string,string>, body binary, compressed boolean"
 
@@ -56,15 +57,19 @@ def record_bytes(headers: dict[str, str], body: bytes, version: str = "1.0") ->
     return END.join(lines) + END + END + body + END + END
 
 
+def is_packed(headers: dict[str, str]) -> bool:
+    return headers.get(COMPRESSION, NOT_PACKED) != NOT_PACKED
+
+
 def compress(headers: dict[str, str], body: bytes) -> tuple[dict[str, str], bytes]:
-    if COMPRESSION in headers:
+    if is_packed(headers):
         return headers, body
     packed = zlib.compress(body)
-    return {**headers, COMPRESSION: "contentonly", PLAIN_LENGTH: str(len(body)), LENGTH: str(len(packed))}, packed
+    return {**headers, COMPRESSION: PACKED, PLAIN_LENGTH: str(len(body)), LENGTH: str(len(packed))}, packed
 
 
 def decompress(headers: dict[str, str], body: bytes) -> tuple[dict[str, str], bytes]:
-    if COMPRESSION not in headers:
+    if not is_packed(headers):
         return headers, body
     plain = zlib.decompress(body)
     return {k: v for k, v in headers.items() if k not in (COMPRESSION, PLAIN_LENGTH)} | {LENGTH: str(len(plain))}, plain
@@ -84,7 +89,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows, error = [], None
                 try:
                     for version, headers, body in records(_opened(data)):
-                        rows.append((name, version, list(headers.items()), body, COMPRESSION in headers, None))
+                        rows.append((name, version, list(headers.items()), body, is_packed(headers), None))
                         if len(rows) == 128:
                             yield _batch(rows)
                             rows = []
@@ -201,7 +206,7 @@ class WarcReader(DataSourceReader):
         name = partition.value
         with gzip.open(name) if name.endswith(".gz") else open(name, "rb") as f:
             for version, headers, body in records(f):
-                yield version, headers, body, COMPRESSION in headers
+                yield version, headers, body, is_packed(headers)
 
 
 def register(spark: SparkSession) -> None:

@@ -9,6 +9,7 @@ from lodestack.operators import crawl
 from lodestack.operators import index as I
 from lodestack.operators import mutation as M
 from lodestack.operators import search as S
+from lodestack.plans import crawler
 from lodestack.sources import docs as D
 from lodestack.sources import warc
 from lodestack.streaming import frontier, ingest
@@ -25,6 +26,7 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.recoded(plain, packed=True).where("compressed").count() == 3
     warc.register(spark)
     assert spark.read.format("warc").load(str(tmp_path / "w")).count() == 3
+    assert warc.decompress({"Compression-Mode": "none"}, b"as it is")[1] == b"as it is"
 
 
 def test_warc_errors_keep_what_was_read(spark, tmp_path):
@@ -67,6 +69,28 @@ def test_document_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "reports")).count() == 1
 
 
+def test_crawl_follows_allowed_links_once(spark):
+    site = {
+        "http://a.example/": '<a href="x">x</a><a href="/y">y</a><a href="http://b.example/">b</a>',
+        "http://a.example/x": '<a href="/">back</a><a href="/z">z</a>', "http://a.example/y": '<a href="/">back</a><a href="/z">z</a>',
+        "http://a.example/z": "end",
+    }
+    acted = []
+    pages, errors = crawler.run(spark, ["http://a.example/"], lambda u: (site[u], None) if u in site else (None, "gone"), actions=(lambda df: acted.append(df.count()),))
+    assert sorted((r.url, r["round"]) for r in pages.collect()) == [("http://a.example/", 0), ("http://a.example/x", 1), ("http://a.example/z", 2)]
+    assert acted == [1, 2, 1] and errors.count() == 0
+    pages, errors = crawler.run(spark, ["http://a.example/", "http://a.example/none"], lambda u: (site.get(u), None if u in site else "gone"), max_pages=1)
+    assert pages.count() == 1 and [r.error for r in errors.collect()] == ["gone"]
+
+
+def test_extraction(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("text")
+    (tmp_path / "b.pdf").write_bytes(b"\xff")
+    got = {r.metadata["resourceName"]: r for r in D.extracted(spark, str(tmp_path)).collect()}
+    assert got["a.txt"].content == "text" and got["a.txt"].metadata["Content-Type"] == "text/plain" and got["b.pdf"].content is None
+    assert got["a.txt"].doc_uri == f"file://{tmp_path}/a.txt"
+
+
 def test_crawl_operators(spark):
     urls = spark.createDataFrame([(f"http://h{i % 2}.example/{i}",) for i in range(6)] + [("nope",), (None,), ("http://h0.example/0",)], "url string")
     rows = crawl.schedule(urls, "2024-01-01 00:00:00", 0.4).collect()
