@@ -25,6 +25,7 @@ CACHE = 200_000
 
 # Encodings that text is wrongly read with, and those it may have been written in.
 WRONG = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250", "cp866")
+CYRILLIC = ("cp1251", "koi8_r", "cp866")
 LETTERS_HIGH = ("cp1251", "koi8_r", "cp1250", "cp866")  # their letters are first bytes of UTF-8
 RIGHT = {
     "cp1252": ("cp1251", "koi8_r", "cp866", "mac_roman", "cp850", "cp932", "euc_jp"),
@@ -77,9 +78,58 @@ def reread(text: str, wrong: str, right: str) -> str | None:
         return None
 
 
+_byte_arrays: dict[str, np.ndarray] = {}
+
+
+def _byte_array(wrong: str) -> np.ndarray:
+    """The byte of each code point beyond ASCII in an encoding, 0 for those it hasn't."""
+    if wrong not in _byte_arrays:
+        out = np.zeros(0x110000, np.uint8)
+        for c, b in _BYTES[wrong].items():
+            if ord(c) > 127:
+                out[ord(c)] = b
+        _byte_arrays[wrong] = out
+    return _byte_arrays[wrong]
+
+
+def misread(points: np.ndarray) -> np.ndarray:
+    """Whether each character is a replacement character or stands in a sequence that reads as UTF-8 by its bytes in a
+    WRONG encoding; of Cyrillic encodings, whose sound words have such sequences, in two of them in a row at least."""
+    at = np.flatnonzero(points > 127)
+    own, n = points[at], len(at)
+    joined = np.zeros(n + 4, bool)  # the next character beyond ASCII is the next of the text
+    joined[: max(0, n - 1)] = at[1:] == at[:-1] + 1
+    bad = own == 0xFFFD
+    for wrong in WRONG:
+        b = _byte_array(wrong)[own]
+        if not (b >= 0xC2).any():
+            continue
+        more = np.zeros(n + 5, bool)
+        more[:n] = (b >= 0x80) & (b < 0xC0)
+        one = joined & more[1:]
+        two = one[:-1] & one[1:]
+        three = two[:-1] & one[2:]
+        begins = [np.flatnonzero((b >= lo) & (b < hi) & more_[:n]) for lo, hi, more_ in ((0xC2, 0xE0, one), (0xE0, 0xF0, two), (0xF0, 0xF5, three))]
+        if wrong in CYRILLIC:
+            first, kept = np.zeros(n + 5, bool), np.zeros(n + 5, bool)
+            first[np.concatenate(begins)] = True
+            for k, i in enumerate(begins, 2):
+                i = i[joined[i + k - 1] & first[i + k]]
+                kept[i] = kept[i + k] = True
+            begins = [i[kept[i]] for i in begins]
+        for k, i in enumerate(begins, 2):
+            for d in range(k):
+                bad[i + d] = True
+    out = np.zeros(len(points), bool)
+    out[at] = bad
+    return out
+
+
 def pair_counts(docs: DataFrame, key: str = "input_id") -> DataFrame:
     """(pair, docs) of every pair of adjacent characters of which one is not ASCII: in how many contents it occurs. A pair
-    is the left code point times 2**21 plus the right one. Counts are combined per batch before they are shuffled."""
+    is the left code point times 2**21 plus the right one. Counts are combined per batch before they are shuffled.
+
+    A pair with a misread character is no evidence: however many records are wrongly decoded alike, theirs stay weak."""
 
     def run(batches):
         for batch in batches:
@@ -87,6 +137,9 @@ def pair_counts(docs: DataFrame, key: str = "input_id") -> DataFrame:
             for lo, hi in chunks(texts):
                 points, _, ends = laid_out(texts[lo:hi])
                 at, keys = _pairs(points)
+                odd = misread(points)
+                sound = ~(odd[at] | odd[at + 1])
+                at, keys = at[sound], keys[sound]
                 doc = np.searchsorted(ends, at).astype(np.uint64)
                 keys, doc = _unique_by(keys, doc)
                 got, n = np.unique(keys, return_counts=True)
@@ -213,7 +266,7 @@ _WORD, _LOST = re.compile(r"[^ \t\n\r]+"), re.compile("\ufffd+")
 
 def _restored(word: str, model: PairModel) -> list[tuple[tuple[str, str], str]]:
     """What the word may have been before it was wrongly decoded, by (wrong, right) encoding: the likeliest reading as
-    UTF-8, else all that are much likelier than the word."""
+    UTF-8, else, or where that is unlikely, all that are much likelier than the word."""
     got = model.fixed.get(word)
     if got is not None:
         return got
@@ -232,8 +285,8 @@ def _restored(word: str, model: PairModel) -> list[tuple[tuple[str, str], str]]:
         least = best if wrong not in LETTERS_HIGH else max(best, raw[0] + BETTER)
         if parts and (mean := model.of_word(fixed := "".join(parts) + word[at:])[0]) > least:
             best, got = mean, [((wrong, "utf-8"), fixed)]
-    if not got:
-        got = _bytewise(word, raw[0], model)
+    if not got or best < ENOUGH:
+        got = _bytewise(word, raw[0], model) or got
     model.fixed[word] = got
     return got
 

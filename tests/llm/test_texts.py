@@ -93,6 +93,32 @@ def test_wrongly_decoded_records(spark):
     assert P4.improbable(empty, P4.PairModel.of(empty)).count() == 0
 
 
+RUSSIAN = "Тихая гавань хранит старый журнал, и каждый сторож считает лодки в полдень. Всё хорошо: рёв моря слышен у моста. "
+
+
+def test_pairs_of_many_records_wrongly_decoded_alike(spark):
+    texts = [GERMAN, RUSSIAN, "Le garçon a mangé à l’hôtel où l’été est déjà passé. "]
+    rows = [(i, texts[i % 3] + str(i), None) for i in range(90)]
+    for k, wrong in enumerate(("latin-1", "cp1252", "cp1251"), 1):
+        rows += [(1000 * k + i, (texts[i % 3] + str(i)).encode().decode(wrong, "ignore" if wrong == "cp1252" else "replace"), None) for i in range(45) if wrong != "cp1251" or i % 3 == 1]
+    docs = spark.createDataFrame(rows, "input_id bigint, content string, compression string")
+    found = {r.input_id: r.content for r in P4.improbable(docs, P4.PairModel.of(docs), restore=True).collect()}
+    assert set(found) == {i for i, *_ in rows if i >= 1000}
+    assert all(found[1000 + i] == texts[i % 3] + str(i) for i in range(45))
+
+
+def test_misread_by_the_patterns():
+    texts = [GERMAN, RUSSIAN, "семьдесят Рёв всё É » ÄÖÜ £ 業界のデータ", "", "a�b"]
+    texts += [t.encode().decode(w, "replace") for t in texts for w in P4.WRONG]
+    for t in texts:
+        want = [c == "�" for c in t]
+        for w in P4.WRONG:
+            for m in P4._UTF8[w].finditer(t):
+                if w not in P4.CYRILLIC or len(P4.re.findall(P4._UTF8[w].pattern[:-1], m.group())) > 1:
+                    want[m.start() : m.end()] = [True] * len(m.group())
+        assert P4.misread(common.laid_out([t])[0]).tolist()[:-1] == want
+
+
 def test_segments():
     assert P4.best_segments([3, 4, 5, 90]) == [(3, 6), (90, 91)] and P4.best_segments([]) == []
     assert P4.best_segments([0, 4]) == [(0, 5)]
