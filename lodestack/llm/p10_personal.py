@@ -186,7 +186,7 @@ class Names:
         surnames = set(rows["word"])
         ends = Counter(w[-ENDING:] for w in surnames if len(w) > ENDING + 1)
         first = counts.where("before <> ''").join(known.select("word"), "word").groupBy("before").agg(F.countDistinct("word").alias("n"))
-        givens = {r.before for r in first.where(f"n >= {LEFTS} AND length(before) > 2").limit(1_000_000).collect()}
+        givens = {r.before for r in first.where(f"n >= {LEFTS} AND length(before) > 2").toLocalIterator()}
         return cls(surnames, {e for e, k in ends.items() if k >= ALIKE}, set(rows["word"][rows["bits"] >= DISCLOSURE]), givens)
 
     def given(self, word: str) -> bool:

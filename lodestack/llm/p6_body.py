@@ -22,8 +22,8 @@ LOSING, LEAST_VOTES = 0.2, 5
 COMMON, LEAST_COMMON = 0.001, 4
 #: Words and characters of a form that is counted; titles are longer. A longer line than LONG is running text.
 FORM_WORDS, FORM_CHARS, LONG = 3, 30, 160
-#: Hosts up to which the votes of single hosts are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_HOSTS = 200_000
+#: Losing paths of single hosts up to which they are broadcast; beyond, they are joined to the records by a shuffle.
+BROADCAST_PATHS = 200_000
 
 # How lines of a site's or a printed page's frame begin, in the languages of the collection; then what
 # they hold wherever it stands.
@@ -178,8 +178,9 @@ def _lines(content: str, host: str | None) -> list[tuple[int, str, str, int, str
 
 
 def ballots(docs: DataFrame) -> DataFrame:
-    """(what, host, name, n, score): of each batch of records, the votes on paths (what = path) of a host and, under the
-    host *, of all; and in how many records each form of a short line stands (what = form, a 64-bit print)."""
+    """(what, host, name, n, score): of each batch of records, the votes on paths (what = path) of a host, with n = 0 for
+    a path without a vote, and, under the host *, of all; and in how many records each form of a short line stands (what
+    = form, a 64-bit print)."""
 
     def run(batches):
         for batch in batches:
@@ -190,6 +191,8 @@ def ballots(docs: DataFrame) -> DataFrame:
                     if kind == SHORT:
                         if _countable(form):
                             seen.add(form)
+                        if path:
+                            votes.setdefault(("path", host or "", path), [0, 0])
                     elif path:
                         for h in (host or "", "*"):
                             v = votes.setdefault(("path", h, path), [0, 0])
@@ -228,6 +231,23 @@ def outside(content: str, host: str | None, losing, common) -> list[int]:
     return out
 
 
+def _with_losing(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """The records with those of their paths that lose on their hosts (host, name)."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for tab, key, host, content in zip(*(batch[c].to_pylist() for c in ("tab", "rec_key", "host")), decoded_all(batch["content"].to_pylist(), batch["compression"].to_pylist())):
+                for path in {container(line)[0] for line in content.split("\n")} - {""}:
+                    for column, x in zip(out, (tab, key, host or "", path)):
+                        column.append(x)
+            yield pa.record_batch([pa.array(c, pa.string()) for c in out], names=["tab", "rec_key", "of", "name"])
+
+    met = rows.mapInArrow(run, "tab string, rec_key string, of string, name string")
+    lost = met.join(own.withColumnRenamed("host", "of"), ["of", "name"]).groupBy("tab", "rec_key", "of").agg(F.collect_set("name").alias("losing"))
+    return rows.withColumn("of", F.coalesce("host", F.lit(""))).join(lost, ["tab", "rec_key", "of"], "left").drop("of")
+
+
 def frame_lines(docs: DataFrame) -> DataFrame:
     """(tab, rec_key, line_no) of every line outside the main body of each record (tab, rec_key, host, content,
     compression). Lines are numbered from 0 and split at line feeds only; blank lines are never given. Null contents and
@@ -238,25 +258,31 @@ def frame_lines(docs: DataFrame) -> DataFrame:
     n = _records(docs).count()
     sc = docs.sparkSession.sparkContext
     forms = votes.where((F.col("what") == "form") & (F.col("n") >= max(LEAST_COMMON, COMMON * n))).select("name").toPandas()["name"]
-    scored = votes.where("what = 'path'").withColumn("mean", F.col("score") / F.col("n"))
-    overall = {r.name: r["mean"] <= LOSING for r in scored.where(f"host = '*' AND n >= {LEAST_VOTES}").limit(100_000).collect()}
-    # a host's own vote is kept only where it differs from the vote of all
-    own = scored.where(f"host <> '*' AND n >= {LEAST_VOTES}").select("host", "name", (F.col("mean") <= LOSING).alias("loses"))
-    by_host = own.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("name", "loses"))).alias("paths"))
-    shared = sc.broadcast((set(forms), overall))
-    rows = _records(docs).withColumn("of", F.coalesce("host", F.lit("")))
-    many = by_host.count()
-    by_host = by_host.withColumnRenamed("host", "of")
-    rows = rows.join(F.broadcast(by_host) if many <= BROADCAST_HOSTS else by_host, "of", "left").drop("of")
+    loses = F.when(F.col("n") >= LEAST_VOTES, F.col("score") / F.col("n") <= LOSING)
+    scored = votes.where("what = 'path'").select("host", "name", loses.alias("loses"))
+    overall = scored.where("host = '*' AND loses").select("name", F.lit(True).alias("everywhere"))
+    # of each host the paths that lose there, by its own vote or else by that of all
+    own = scored.where("host <> '*'").join(overall, "name", "left").where(F.coalesce("loses", "everywhere", F.lit(False)))
+    own = written(own.select("host", "name"), "losing-paths")
+    rows = _records(docs)
+    by_host: dict[str, set[str]] | None = None
+    if own.count() <= BROADCAST_PATHS:
+        by_host = {}
+        for r in own.collect():
+            by_host.setdefault(r.host, set()).add(r.name)
+        rows = rows.withColumn("losing", F.array().cast("array<string>"))
+    else:
+        rows = _with_losing(rows, own)
+    shared = sc.broadcast((set(forms), by_host))
 
     def run(batches):
-        common, overall = shared.value
+        common, by_host = shared.value
         for batch in batches:
-            tabs, keys, hosts, paths = (batch[c].to_pylist() for c in ("tab", "rec_key", "host", "paths"))
+            tabs, keys, hosts, paths = (batch[c].to_pylist() for c in ("tab", "rec_key", "host", "losing"))
             out: list[list] = [[], [], []]
             for tab, key, host, own, content in zip(tabs, keys, hosts, paths, decoded_all(batch["content"].to_pylist(), batch["compression"].to_pylist())):
-                own = dict(own or ())
-                found = outside(content, host, lambda p: own.get(p, overall.get(p, False)), lambda f: _countable(f) and xxhash.xxh3_64_hexdigest(f) in common)  # noqa: B023
+                own = by_host.get(host or "", ()) if by_host is not None else set(own or ())
+                found = outside(content, host, lambda p: p in own, lambda f: _countable(f) and xxhash.xxh3_64_hexdigest(f) in common)  # noqa: B023
                 out[0] += [tab] * len(found)
                 out[1] += [key] * len(found)
                 out[2] += found

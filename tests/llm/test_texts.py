@@ -168,6 +168,15 @@ def test_frames(spark):
     assert P6.frame_lines(docs.where("false")).count() == 0
 
 
+def test_frames_of_many_class_names(spark):
+    n, many = 100_500, 500  # paths, paths a record
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    line = lambda k, text: f'<p class="{name(k)}">{text}</p>'
+    rows = [("input_docs", f"{h}-{at}", f"{h}.example", "\n".join(line(k, "See the keeper who counts the boats." if h == "e" else "© 2020") for k in range(at, at + many)), None) for h in "abcde" for at in range(0, n, many)]
+    docs = spark.createDataFrame(rows, "tab string, rec_key string, host string, content string, compression string")
+    assert P6.frame_lines(docs.repartition(8)).where("rec_key LIKE 'e-%'").count() == n
+
+
 def test_point_table_and_chunks():
     t = common.PointTable(lambda c: ord(c) % 7)
     x = np.array([1, 8, 0x10FFFF], np.uint32)
