@@ -57,6 +57,12 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_lookalikes.consistent(terms, looks, ["term_id"]).select("term_id", F.col("text").alias("term"), "form").distinct()
 
 
+def p3_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content of each record, its compression undone, in its consistent form."""
+    docs, _, looks = _looks(spark, sf_dir)
+    return p3_lookalikes.consistent(docs, looks, ["input_id"]).select("input_id", "form")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "input_docs")
     return p4_encoding.improbable(docs, p4_encoding.PairModel.of(docs)).select("input_id").distinct()
@@ -132,7 +138,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_forms, p4_found, p4_restored, p5_found, p5_scores, p6_found, p6_bodies, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_clean)
+    own = (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_forms, p3_contents, p4_found, p4_restored, p5_found, p5_scores, p6_found, p6_bodies, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_clean)
     return {f.__name__: f for f in own}
 
 

@@ -71,6 +71,18 @@ def test_same_look_pairs(spark):
     assert P3.same_look(P3.consistent(empty, P3.lookalikes(empty), ["component_id", "term_id"]), "component_id", "term_id").count() == 0
 
 
+def test_contents_and_terms_have_one_form(spark, tmp_path):
+    from lodestack.llm import queries
+
+    packed = base64.b64encode(zlib.compress("ｆｕｌｌ ѕрасе".encode())).decode()
+    docs = [(1, "u", "full space " * 9, None), (2, "u", packed, "ZLIB"), (3, None, "so\u200bft ", None), (4, "v", None, "zlib"), (5, "v", "", None), (6, "v", "plain", "zlib")]
+    spark.createDataFrame(docs, "input_id bigint, url string, content string, compression string").write.parquet(str(tmp_path / "input_docs.parquet"))
+    spark.createDataFrame([(1, "c", "ѕрасе"), (2, "c", "space")], "term_id bigint, component_id string, term string").write.parquet(str(tmp_path / "terms.parquet"))
+    got = {r.input_id: r.form for r in queries.queries()["p3_contents"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("full space " * 9).strip(), 2: "full space", 3: "soft", 4: None, 5: "", 6: "plain"}
+    assert {r.form for r in queries.queries()["p3_forms"](spark, str(tmp_path)).collect()} == {"space"}
+
+
 def encoding_table(spark):
     sound = [(i, f"{PLAIN}{GERMAN} {i}", None) for i in range(60)] + [(60, None, None), (61, "", None), (62, "  ", "zlib"), (63, "A replacement character (�) is shown.", None), (64, "The sequence Ã¼ is read twice.", None), (65, PLAIN * 3000, None)]
     bad = [
