@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import base64
-import binascii
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.functions.contents import decoded
 from lodestack.operators.tables import shared_dir, spread, written
 
-__all__ = ["shared_dir", "written"]
+__all__ = ["decoded", "shared_dir", "written"]
 
 #: Tables of which each row is much work.
 TEXTS = ("input_docs", "content_metadata", "documents")
@@ -26,20 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXTS else df
 
 
-def decoded(content: str | None, compression: str | None) -> str | None:
-    """The content after undoing the compression.
-
-    Where compression says zlib, in any letter case and with blanks around it, content is base64 of zlib bytes of
-    UTF-8; what does not decode was marked wrongly and stays as it is. Null stays null.
-    """
-    if content is None or compression is None or compression.strip().lower() != "zlib":
-        return content
-    try:
-        return zlib.decompress(base64.b64decode(content, validate=True)).decode("utf-8")
-    except (binascii.Error, zlib.error, ValueError):
-        return content
-
-
 def decoded_all(contents: Iterable[str | None], compressions: Iterable[str | None]) -> list[str | None]:
     return [decoded(c, z) for c, z in zip(contents, compressions)]
 

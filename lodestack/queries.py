@@ -11,6 +11,7 @@ from lodestack.functions import hashing, scoring
 from lodestack.functions import html as H
 from lodestack.functions import text as T
 from lodestack.functions import urls as U
+from lodestack.functions.contents import undone
 from lodestack.operators import crawl, mutation, spelling
 from lodestack.operators import index as I
 from lodestack.operators import search as S
@@ -218,7 +219,7 @@ def host_schedule(spark, d):
 
 
 def page_links(spark, d):
-    pages = _table(spark, d, "input_docs").where("compression IS NULL OR lower(trim(compression)) <> 'zlib'").select("url", F.col("content").alias("html"))
+    pages = spread(_table(spark, d, "input_docs")).select("url", undone(F.col("content"), F.col("compression")).alias("html"))
     return crawl.page_links(pages).groupBy("page").agg(F.count("*").alias("n"))
 
 

@@ -107,3 +107,17 @@ def test_patterns():
     for bad in ("(?=x)", r"(a)\1", "("):
         with pytest.raises(ValueError):
             checked(bad)
+
+
+def test_links_of_compressed_pages(spark, tmp_path):
+    import base64
+    import zlib
+
+    from lodestack import queries
+
+    page = '<a href="/a">x</a> <a href="b">y</a>'
+    packed = base64.b64encode(zlib.compress(page.encode())).decode()
+    rows = [("http://h/1", page, None), ("http://h/2", packed, " ZLIB"), ("http://h/3", page, "zlib"), ("http://h/4", None, "zlib"), ("http://h/5", packed, "none")]
+    spark.createDataFrame(rows, "url string, content string, compression string").write.parquet(str(tmp_path / "input_docs.parquet"))
+    got = {r.page: r.n for r in queries.queries()["page_links"](spark, str(tmp_path)).collect()}
+    assert got == {"http://h/1": 2, "http://h/2": 2, "http://h/3": 2}
