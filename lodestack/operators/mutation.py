@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from .index import KEYS, Index
 
-#: Urls whose status may be asked for at once.
-MOST_ASKED = 10_000
 TOMBSTONES = "collection string, component_id string, doc_id bigint"
 
 
@@ -20,24 +18,37 @@ def delete_urls(index: Index, urls: DataFrame, tombstones: DataFrame | None = No
     return own if tombstones is None else tombstones.select(*KEYS, "doc_id").unionByName(own).distinct()
 
 
+def _held(index: Index, asked: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """(keys, url, status) of each asked url in each component that has records of it: DELETED if all are, or PRESENT."""
+    dead = tombstones.select(*KEYS, "doc_id").distinct().withColumn("dead", F.lit(1))
+    own = index.docs.join(asked, "url", "left_semi").join(dead, [*KEYS, "doc_id"], "left").groupBy(*KEYS, "url").agg(F.count("*").alias("n"), F.count("dead").alias("gone"))
+    return own.select(*KEYS, "url", F.when(F.col("gone") == F.col("n"), "DELETED").otherwise("PRESENT").alias("status"))
+
+
 def status(index: Index, urls: DataFrame, tombstones: DataFrame) -> DataFrame:
     """(url, keys, status) of each url in each component: MISSING, PRESENT or DELETED (all its records are)."""
-    components = index.docs.select(*KEYS).distinct()
     asked = urls.select("url").distinct()
-    if asked.limit(MOST_ASKED + 1).count() > MOST_ASKED:
-        raise ValueError(f"more than {MOST_ASKED} urls at once")
-    # the answer has a row for each asked url and component: a short list against what compaction keeps few
-    every = components.join(F.broadcast(asked), F.lit(True), "inner")
-    dead = tombstones.select(*KEYS, "doc_id").withColumn("dead", F.lit(1))
-    own = index.docs.join(asked, "url", "left_semi").join(dead, [*KEYS, "doc_id"], "left").groupBy(*KEYS, "url").agg(F.count("*").alias("n"), F.count("dead").alias("gone"))
-    what = F.when(F.col("n").isNull(), "MISSING").when(F.col("gone") == F.col("n"), "DELETED").otherwise("PRESENT")
-    return every.join(own, [*KEYS, "url"], "left").select("url", *KEYS, what.alias("status"))
+    # the answer has a row for each asked url and component; compaction keeps components few
+    every = asked.join(F.broadcast(index.docs.select(*KEYS).distinct()), F.lit(True), "inner")
+    return every.join(_held(index, asked, tombstones), [*KEYS, "url"], "left").select("url", *KEYS, F.coalesce("status", F.lit("MISSING")).alias("status"))
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("url", "status").agg(F.count("*").alias("components"))
 
 
+def status_histogram(index: Index, urls: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """status_counts of the status of the urls, without a row for each url and component: the components where a url is
+    MISSING are those left of all."""
+    asked = urls.select("url").distinct()
+    every = index.docs.select(*KEYS).distinct().agg(F.count("*").alias("every"))
+    held = _held(index, asked, tombstones).groupBy("url").agg(F.count_if(F.col("status") == "PRESENT").alias("PRESENT"), F.count_if(F.col("status") == "DELETED").alias("DELETED"))
+    wide = asked.join(held, "url", "left").na.fill(0, ["PRESENT", "DELETED"]).join(F.broadcast(every), F.lit(True), "inner")
+    wide = wide.withColumn("MISSING", F.col("every") - F.col("PRESENT") - F.col("DELETED"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("status"), F.col(k).alias("components")) for k in ("MISSING", "PRESENT", "DELETED")))
+    return wide.select("url", F.inline(kinds)).where("components > 0")
+
+
 def without_deleted(index: Index, tombstones: DataFrame | None) -> Index:
     if tombstones is None:
         return index

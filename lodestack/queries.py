@@ -150,12 +150,18 @@ def spelling_suggestions(spark, d):
     return spelling.suggestions(_whole(spark, d), "frontir Ladel quai", 2).where(F.col("suggestion").rlike("^[ -~]*$"))
 
 
+def _status(spark, d, asked):
+    return mutation.status_histogram(_whole(spark, d), asked.where("url IS NOT NULL").select("url"), _dead(spark, d)).groupBy("status").agg(F.sum("components").alias("n"))
+
+
 def doc_status(spark, d):
     """Which of the urls of the deleted records are in which state, over the components of the whole collection."""
-    dead = _dead(spark, d)
-    asked = _table(spark, d, "documents").where("url IS NOT NULL AND lang IN ('ru', 'ja')").select("url")
-    index = _whole(spark, d)
-    return mutation.status_counts(mutation.status(index, asked, dead)).groupBy("status").agg(F.sum("components").alias("n"))
+    return _status(spark, d, _table(spark, d, "documents").where("lang IN ('ru', 'ja')"))
+
+
+def doc_status_all(spark, d):
+    """Which of all urls are in which state."""
+    return _status(spark, d, _table(spark, d, "documents"))
 
 
 def _halves(spark, d):
@@ -299,7 +305,7 @@ def collection_names(spark, d):
 _OWN = (
     tokenize_terms, doc_lengths, postings, term_dictionary, corpus_stats, index_reply, index_verify, index_dump, bm25_search, bm25_topk,
     bm25_repeated_term, bm25_floor_topk, multi_component_search, global_stats_search, url_best, search_with_tombstones,
-    scored_regex_exact_one, unscored_all, unscored_regex, regex_term_scan, structured_and_or_sub, spelling_suggestions, doc_status,
+    scored_regex_exact_one, unscored_all, unscored_regex, regex_term_scan, structured_and_or_sub, spelling_suggestions, doc_status, doc_status_all,
     merge_components, merge_url_dedupe, merged_stats, collection_list, fib_compaction_plan, content_dedupe, url_hosts, allowed_urls,
     host_schedule, page_links, page_titles, page_meta, result_display, search_with_metadata, cached_copy, doc_url_exists, num_docs,
     file_cache, file_cache_upsert, file_hashes, download_list, wait_times, collection_names,
@@ -376,6 +382,8 @@ UNION (({_HAS.format('quay')}) EXCEPT ({_HAS.format('harbour')}))) SELECT doc_id
 SELECT q AS query_term, CAST(levenshtein(q, term) AS INT) AS dist, term AS suggestion FROM v, (VALUES ('frontir'), ('ladel'), ('quai')) a(q) WHERE levenshtein(q, term) <= 2""",
         "doc_status": """WITH asked AS (SELECT DISTINCT url FROM documents WHERE url IS NOT NULL AND lang IN ('ru', 'ja')),
 one AS (SELECT url, count(*) FILTER (coalesce(lang, '') = 'ru') AS gone, count(*) AS n FROM documents WHERE url IN (SELECT url FROM asked) GROUP BY url)
+SELECT CASE WHEN gone = n THEN 'DELETED' ELSE 'PRESENT' END AS status, count(*) AS n FROM one GROUP BY ALL""",
+        "doc_status_all": """WITH one AS (SELECT url, count(*) FILTER (coalesce(lang, '') = 'ru') AS gone, count(*) AS n FROM documents WHERE url IS NOT NULL GROUP BY url)
 SELECT CASE WHEN gone = n THEN 'DELETED' ELSE 'PRESENT' END AS status, count(*) AS n FROM one GROUP BY ALL""",
         "merge_components": _MERGED + "SELECT term, count(*) AS doc_freq, CAST(sum(tf) AS BIGINT) AS occurrences FROM posts JOIN kept USING (doc_id) GROUP BY term",
         "merge_url_dedupe": _MERGED + "SELECT url, doc_len FROM kept",

@@ -149,3 +149,20 @@ def test_engine_over_a_folder(spark, tmp_path):
         e.index_docs("a b", new(*THREE))
     e.delete_collection("col")
     assert e.collections() == []
+
+
+def test_status_of_many_urls(spark):
+    n = 12_000
+    docs = spark.range(n).select(F.lit("c").alias("collection"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("component_id"), F.col("id").alias("doc_id"), F.concat(F.lit("u"), F.col("id") % 9000).alias("url"), F.lit(1).alias("doc_len"))
+    index, dead = I.Index(docs, docs), docs.where("doc_id % 2 = 0").select("collection", "component_id", "doc_id")
+    asked = docs.select("url").unionByName(spark.range(2000).select(F.concat(F.lit("none"), "id").alias("url")))
+    states = {}
+    for i in range(n):
+        states.setdefault((f"u{i % 9000}", "a" if i % 3 == 0 else "b"), []).append(i % 2 == 0)
+    want = {}
+    for url in [f"u{i}" for i in range(9000)] + [f"none{i}" for i in range(2000)]:
+        for c in "ab":
+            s = "MISSING" if (url, c) not in states else "DELETED" if all(states[url, c]) else "PRESENT"
+            want[url, s] = want.get((url, s), 0) + 1
+    for got in (M.status_counts(M.status(index, asked, dead)), M.status_histogram(index, asked, dead)):
+        assert {(r.url, r.status): r.components for r in got.collect()} == want
