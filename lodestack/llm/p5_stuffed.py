@@ -35,12 +35,17 @@ _CJK, _CYRILLIC, _LETTER = re.compile("[぀-ヿ㐀-鿿]"), re.compile("[Ѐ-ӿ]")
 
 
 def language(text: str) -> str:
-    """By script: where words are spaced and how many bytes a letter takes are what matters here."""
+    """By the script of all letters outside tags: where words are spaced and how many bytes a letter takes are what
+    matters here."""
     if text.isascii():
         return "latin"
-    head = text[:400]
-    most = max(1, len(_LETTER.findall(head)))
-    return "cjk" if len(_CJK.findall(head)) > 0.2 * most else "cyrillic" if len(_CYRILLIC.findall(head)) > 0.3 * most else "latin"
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    cjk, cyrillic = len(_CJK.findall(text)), len(_CYRILLIC.findall(text))
+    if not cjk and not cyrillic:
+        return "latin"
+    most = max(1, len(_LETTER.findall(text)))
+    return "cjk" if cjk > 0.2 * most else "cyrillic" if cyrillic > 0.3 * most else "latin"
 
 
 def readable(text: str) -> str:

@@ -157,6 +157,13 @@ def test_stuffed_pages(spark):
     assert P5.scored(docs.where("false")).count() == 0
 
 
+def test_language_is_that_of_the_whole_page():
+    menu, body = "<li class='menu'>Главная страница сайта</li>\n" * 20, "<p>The café keeper counts the boats at noon.</p>\n" * 60
+    assert P5.language(menu + body) == "latin" and P5.language(body + menu) == "latin"
+    assert P5.language("<p>" + "Сторож считает лодки. " * 30 + "</p>" + "<br class='line-of-a-page'>" * 99) == "cyrillic"
+    assert P5.language("The quiet harbour. " * 30 + "静かな港の記録" * 90) == "cjk"
+
+
 def page(n, tag="div"):
     lines = [f'<{tag} class="c{n % 9}">Home</{tag}>', "<li><a href='/x'>Sign up for updates from Kalo: 12 readers already did</a></li>", f"<h3>Slow boat number {n} at dawn</h3>", f"<p>Once upon a time the boat {n} left the harbour and came back late.</p>", "", "<p>Contact</p>", f"<p>The keeper wrote {n} lines into the book, and all of them were true.</p>", f"<footer>© 2020 Kalo. All rights reserved. {n}"]
     return "\n".join(lines)
