@@ -78,6 +78,19 @@ def reread(text: str, wrong: str, right: str) -> str | None:
         return None
 
 
+_ODD = re.compile("[ÃÂâÐÑãåäçèéæï√‚├Γ╨╤][^\\x00-\\x7f]")
+
+
+def reread_all(text: str) -> str:
+    """The text with all its sequences that read as UTF-8 by their bytes in one of the commonest WRONG encodings read so."""
+    if not _ODD.search(text):
+        return text
+    for wrong in ("cp1252", "latin-1", "mac_roman", "cp437"):
+        if _UTF8[wrong].search(text):
+            return _UTF8[wrong].sub(lambda m: reread(m.group(), wrong, "utf-8") or m.group(), text)  # noqa: B023
+    return text
+
+
 _byte_arrays: dict[str, np.ndarray] = {}
 
 
