@@ -46,3 +46,16 @@ def spelling_terms(text: str | None) -> list[str]:
 def valid_collection(name: Column) -> Column:
     """Whether a collection name has only letters, digits and hyphens."""
     return name.rlike(r"^[\p{IsAlphabetic}\p{N}-]*$")
+
+
+def escaped(text: Column) -> Column:
+    """Text on one line: line feeds, carriage returns and backslashes are written with a backslash."""
+    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def unescaped(text: Column) -> Column:
+    """The text that `escaped` was given. Null if a backslash stands before anything else than n, r or a backslash."""
+    cut = F.regexp_extract_all(text, F.lit(r"(?s)(\\.?|[^\\]+)"), F.lit(1))
+    one = lambda p: F.when(p == "\\n", "\n").when(p == "\\r", "\r").when(p == "\\\\", "\\").when(~p.startswith("\\"), p)
+    parts = F.transform(cut, one)
+    return F.when(~F.exists(parts, lambda p: p.isNull()), F.array_join(parts, ""))

@@ -53,15 +53,16 @@ def resolve(reference: str, page: str, base: str | None = None) -> str | None:
 
 
 def allowed_pattern(seed: str) -> str:
-    """A pattern for the urls a crawl from a seed may follow: its host and hosts below it, anchored at the begin only.
+    """A pattern for the urls a crawl from a seed may follow: its host and those one label below it, anchored at the begin
+    only.
 
-    A seed of www. stands for the hosts below its domain and asks for one; any other allows one. A seed without scheme
-    allows http and https.
+    A seed of www. stands for the hosts one label below its domain and asks for one; any other allows one. A seed without
+    scheme allows http and https.
     """
     scheme, sep, rest = seed.partition("://")
     if not sep:
         scheme, rest = "https?", seed
     name = re.split("[/?#]", rest, maxsplit=1)[0]
     if name.startswith("www."):
-        return rf"^{scheme}://(?:[^/?#]+\.)" + re.escape(name[4:])
-    return rf"^{scheme}://(?:[^/?#]+\.)?" + re.escape(name)
+        return rf"^{scheme}://(?:[^./?#]+\.)" + re.escape(name[4:])
+    return rf"^{scheme}://(?:[^./?#]+\.)?" + re.escape(name)

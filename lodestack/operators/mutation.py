@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from .index import KEYS, Index
 
+#: Fresh doc_ids tried for a record whose own is taken.
+CANDIDATES = 4
 TOMBSTONES = "collection string, component_id string, doc_id bigint"
 
 
 def delete_urls(index: Index, urls: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
     """Tombstones (keys, doc_id) with those of all records of the urls (url). A url that isn't there, or is already
-    deleted, changes nothing."""
-    own = index.docs.join(urls.select("url").distinct(), "url", "left_semi").select(*KEYS, "doc_id")
+    deleted, changes nothing; null and empty urls are none."""
+    own = index.docs.join(urls.where("url <> ''").select("url").distinct(), "url", "left_semi").select(*KEYS, "doc_id")
     return own if tombstones is None else tombstones.select(*KEYS, "doc_id").unionByName(own).distinct()
 
 
@@ -53,7 +55,23 @@ def without_deleted(index: Index, tombstones: DataFrame | None) -> Index:
     if tombstones is None:
         return index
     dead = tombstones.select(*KEYS, "doc_id")
-    return Index(index.docs.join(dead, [*KEYS, "doc_id"], "left_anti"), index.postings.join(dead, [*KEYS, "doc_id"], "left_anti"))
+    return Index(*(t.join(dead, [*KEYS, "doc_id"], "left_anti") for t in (index.docs, index.postings)))
+
+
+def _renumbered(kept: DataFrame, component_id: str) -> DataFrame:
+    """kept with new_id: the doc_id, or, of a's record of a doc_id that both sides have, one that no record has. Each such
+    record has CANDIDATES of them; it takes the first that is neither in use nor a candidate of another record."""
+    rows = kept.withColumn("both", F.count("*").over(W.partitionBy("doc_id")) > 1)
+    clash = rows.where(F.col("both") & (F.col("side") == 0)).select(*KEYS, "side", "doc_id")
+    tries = clash.select("*", F.explode(F.sequence(F.lit(1), F.lit(CANDIDATES))).alias("k"))
+    tries = tries.withColumn("candidate", F.xxhash64(*KEYS, "doc_id", F.lit(component_id), "k"))
+    free = tries.join(kept.select(F.col("doc_id").alias("candidate")), "candidate", "left_anti")
+    free = free.withColumn("n", F.count("*").over(W.partitionBy("candidate"))).where("n = 1")
+    fresh = free.groupBy(*KEYS, "side", "doc_id").agg(F.min_by("candidate", "k").alias("fresh"))
+    out = rows.join(fresh, [*KEYS, "side", "doc_id"], "left")
+    none = F.raise_error(F.lit("no free doc_id among the candidates")).cast("bigint")
+    moves = F.col("both") & (F.col("side") == 0)
+    return out.withColumn("new_id", F.when(moves, F.coalesce("fresh", none)).otherwise(F.col("doc_id"))).drop("both", "fresh")
 
 
 def merged(a: Index, b: Index, collection: str, component_id: str, tombstones: DataFrame | None = None) -> Index:
@@ -61,18 +79,16 @@ def merged(a: Index, b: Index, collection: str, component_id: str, tombstones: D
     b and of the least doc_id (records without url all stay); a doc_id that both have is given anew to a's record. Of an empty b, a is left."""
     a, b = without_deleted(a, tombstones), without_deleted(b, tombstones)
     docs = a.docs.withColumn("side", F.lit(0)).unionByName(b.docs.withColumn("side", F.lit(1)))
-    own = F.when(F.col("url") == "", F.concat_ws("\\0", "side", *KEYS, "doc_id")).otherwise(F.col("url"))
+    own = F.when(F.coalesce(F.col("url"), F.lit("")) == "", F.concat_ws("\\0", F.lit(""), "side", *KEYS, "doc_id")).otherwise(F.col("url"))
     docs = docs.withColumn("own", own)
     first = docs.groupBy("own").agg(F.min(F.struct("side", *KEYS, "doc_id")).alias("first")).select("own", "first.*")
     kept = docs.join(first, ["own", "side", *KEYS, "doc_id"], "left_semi").drop("own")
-    shared = W.partitionBy("doc_id")
-    fresh = F.when((F.count("*").over(shared) > 1) & (F.col("side") == 0), F.xxhash64("url", "doc_id", F.lit(component_id))).otherwise(F.col("doc_id"))
-    kept = kept.withColumn("new_id", fresh)
+    kept = _renumbered(kept, component_id)
     posts = a.postings.withColumn("side", F.lit(0)).unionByName(b.postings.withColumn("side", F.lit(1)))
     posts = posts.join(kept.select(*KEYS, "side", "doc_id", "new_id"), [*KEYS, "side", "doc_id"])
     here = [F.lit(collection).alias("collection"), F.lit(component_id).alias("component_id")]
     return Index(
-        kept.select(*here, F.col("new_id").alias("doc_id"), "url", "doc_len"), posts.select(*here, "term", F.col("new_id").alias("doc_id"), "tf")
+        kept.select(*here, F.col("new_id").alias("doc_id"), "url", "doc_len"), posts.select(*here, "term", F.col("new_id").alias("doc_id"), "tf", "doc_len")
     )
 
 
@@ -85,7 +101,7 @@ def first_of_each(a: DataFrame, b: DataFrame, key: str = "url") -> DataFrame:
 def moved(index: Index, source: str, target: str) -> Index:
     """The components of one collection put into another."""
     name = F.when(F.col("collection") == source, target).otherwise(F.col("collection"))
-    return Index(index.docs.withColumn("collection", name), index.postings.withColumn("collection", name))
+    return index._each(lambda t: t.withColumn("collection", name))
 
 
 def collections(index: Index) -> DataFrame:

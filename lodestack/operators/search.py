@@ -19,13 +19,15 @@ def _alive(posts: DataFrame, tombstones: DataFrame | None) -> DataFrame:
     return posts if tombstones is None else posts.join(tombstones.select(*KEYS, "doc_id"), [*KEYS, "doc_id"], "left_anti")
 
 
-def _scored(index: Index, posts: DataFrame, wanted, tombstones: DataFrame | None, global_stats: bool) -> DataFrame:
-    """posts (keys, term, doc_id, tf, times) summed up to (keys, doc_id, score, term_count), where term_count meets
-    `wanted`. Statistics count deleted records until they are merged away."""
+def _scored(index: Index, posts: DataFrame, of_terms, wanted, tombstones: DataFrame | None, global_stats: bool) -> DataFrame:
+    """posts (keys, term, doc_id, tf, doc_len, times) summed up to (keys, doc_id, score, term_count), where term_count
+    meets `wanted`. Document frequencies are those of the dictionary's terms that meet `of_terms`. Statistics count
+    deleted records until they are merged away. The table of records isn't read."""
     by = [] if global_stats else KEYS
-    freq = posts.groupBy(*by, "term").agg(F.count("*").alias("doc_freq"))
+    freq = index.terms.where(of_terms).select(*by, "term", "doc_freq")
+    freq = freq if by else freq.groupBy("term").agg(F.sum("doc_freq").alias("doc_freq"))
     stats = index.stats if not global_stats else index.stats.agg(F.sum("num_docs").alias("num_docs"), F.sum("total_doc_len").alias("total_doc_len"))
-    rows = _alive(posts, tombstones).join(freq, [*by, "term"]).join(index.docs.select(*KEYS, "doc_id", "doc_len"), [*KEYS, "doc_id"])
+    rows = _alive(posts, tombstones).join(freq, [*by, "term"])
     # one row per component; a single row for all
     rows = rows.join(F.broadcast(stats), KEYS) if by else rows.join(F.broadcast(stats))
     average = F.expr("total_doc_len DIV num_docs")
@@ -33,23 +35,40 @@ def _scored(index: Index, posts: DataFrame, wanted, tombstones: DataFrame | None
     return rows.groupBy(*KEYS, "doc_id").agg(F.sum(part).alias("score"), F.sum("times").cast("int").alias("term_count")).where(wanted(F.col("term_count")))
 
 
-def bm25(index: Index, query: str, tombstones: DataFrame | None = None, global_stats: bool = False) -> DataFrame:
-    """(keys, doc_id, url, score, term_count) of the records that hold every term of the query. A term given twice counts
-    twice. Urls are joined only to what is left. A query without terms finds nothing."""
+def scores(index: Index, query: str, tombstones: DataFrame | None = None, global_stats: bool = False) -> DataFrame:
+    """(keys, doc_id, score, term_count) of the records that hold every term of the query. A term given twice counts
+    twice. A query without terms finds nothing."""
     asked = Counter(tokenize(query))
     spark = index.docs.sparkSession
     q = spark.createDataFrame(list(asked.items()) or [("", 0)], "term string, times int")
-    posts = index.postings.where(F.col("term").isin(*asked) if asked else F.lit(False)).join(F.broadcast(q), "term")
-    found = _scored(index, posts, lambda n: n == asked.total(), tombstones, global_stats)
+    held = F.col("term").isin(*asked) if asked else F.lit(False)
+    posts = index.postings.where(held).join(F.broadcast(q), "term")
+    return _scored(index, posts, held, lambda n: n == asked.total(), tombstones, global_stats)
+
+
+def with_urls(index: Index, found: DataFrame) -> DataFrame:
     return found.join(index.docs.select(*KEYS, "doc_id", "url"), [*KEYS, "doc_id"]).select(*KEYS, "doc_id", "url", "score", "term_count")
 
 
+def bm25(index: Index, query: str, tombstones: DataFrame | None = None, global_stats: bool = False) -> DataFrame:
+    """As scores, with urls, which are joined to what was found only."""
+    return with_urls(index, scores(index, query, tombstones, global_stats))
+
+
 def bm25_pattern(index: Index, pattern: str, tombstones: DataFrame | None = None) -> DataFrame:
     """As bm25, of the terms a pattern matches: the pattern is one term of a query, so that only the records that hold
     exactly one matching term are found."""
-    posts = index.postings.where(term_filter("term", pattern)).withColumn("times", F.lit(1))
-    found = _scored(index, posts, lambda n: n == 1, tombstones, False)
-    return found.join(index.docs.select(*KEYS, "doc_id", "url"), [*KEYS, "doc_id"]).select(*KEYS, "doc_id", "url", "score", "term_count")
+    held = term_filter("term", pattern)
+    posts = index.postings.where(held).withColumn("times", F.lit(1))
+    return with_urls(index, _scored(index, posts, held, lambda n: n == 1, tombstones, False))
+
+
+def best(index: Index, query: str, n: int | None = None, tombstones: DataFrame | None = None, global_stats: bool = False) -> DataFrame:
+    """The best n records by score, then the best of each url; so it may hold fewer than n. Urls are joined to these n."""
+    found = scores(index, query, tombstones, global_stats)
+    if n is not None:
+        found = found.orderBy(F.col("score").desc(), *KEYS, "doc_id").limit(n)
+    return top(with_urls(index, found))
 
 
 def component_top(found: DataFrame, k: int) -> DataFrame:
@@ -58,12 +77,21 @@ def component_top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
 
+def _apart(url: str = "url"):
+    """A url, or what stands for it of a record that has none: such records are never taken for one another."""
+    own = F.struct(F.lit(None).cast("string").alias("url"), F.struct(*KEYS, "doc_id").alias("record"))
+    return F.when(F.coalesce(F.col(url), F.lit("")) == "", own).otherwise(F.struct(F.col(url).alias("url"), F.lit(None).cast(_RECORD).alias("record")))
+
+
+_RECORD = "struct<collection:string,component_id:string,doc_id:bigint>"
+
+
 def top(found: DataFrame, n: int | None = None) -> DataFrame:
-    """The best n of all components by score, then the best of each url; so it may hold fewer than n."""
+    """The best n of all components by score, then the best of each url; records without url all stay."""
     if n is not None:
-        found = found.orderBy(F.col("score").desc(), "url", "doc_id").limit(n)
-    best = F.max_by(F.struct(*found.columns), F.struct("score", -F.col("doc_id"))).alias("best")
-    return found.groupBy("url").agg(best).select("best.*").orderBy(F.col("score").desc(), "url")
+        found = found.orderBy(F.col("score").desc(), "url", *KEYS, "doc_id").limit(n)
+    first = F.max_by(F.struct(*found.columns), F.struct("score", -F.col("doc_id"))).alias("best")
+    return found.groupBy(_apart().alias("own")).agg(first).select("best.*").orderBy(F.col("score").desc(), "url")
 
 
 def all_terms(index: Index, query: str, tombstones: DataFrame | None = None) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import fnmatch
 import gzip
+import hashlib
 import io
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,8 +20,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 END = b"\r\n"
 COMPRESSION, LENGTH, PLAIN_LENGTH = "Compression-Mode", "Content-Length", "Uncompressed-Content-Length"
 PACKED, NOT_PACKED = "contentonly", "none"
+#: Records that are handed on together.
+BATCH = 128
 
-SCHEMA = "version string, headers map<string,string>, body binary, compressed boolean"
+SCHEMA = "path string, version string, headers map<string,string>, body binary, compressed boolean, error string"
 
 
 class WarcError(ValueError):
@@ -75,33 +81,38 @@ def decompress(headers: dict[str, str], body: bytes) -> tuple[dict[str, str], by
     return {k: v for k, v in headers.items() if k not in (COMPRESSION, PLAIN_LENGTH)} | {LENGTH: str(len(plain))}, plain
 
 
-def _opened(data: bytes) -> io.BufferedIOBase:
-    return gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+def _file_system(path: str):
+    """The file system of a path and the path in it; what Spark calls s3a is s3 here."""
+    from pyarrow import fs
 
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, version, headers, body, compressed, error) of the records of files, plain or gzip. Where a file can't be read
-    on, its last row has the error; the rows before it stay."""
 
-    def run(batches):
-        for batch in batches:
-            for name, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                rows, error = [], None
-                try:
-                    for version, headers, body in records(_opened(data)):
-                        rows.append((name, version, list(headers.items()), body, is_packed(headers), None))
-                        if len(rows) == 128:
-                            yield _batch(rows)
-                            rows = []
-                except (WarcError, OSError, EOFError, UnicodeDecodeError) as e:
-                    error = str(e)
-                if error:
-                    rows.append((name, None, None, None, None, error))
-                if rows:
-                    yield _batch(rows)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, f"path string, {SCHEMA}, error string")
+def _names(path: str) -> list[str]:
+    """The files of a path: a file, all WARC files below a folder, or those whose names match a pattern."""
+    from pyarrow import fs
+
+    store, at = _file_system(path)
+    head, _, tail = at.rpartition("/")
+    if "*" in tail or "?" in tail:
+        found = store.get_file_info(fs.FileSelector(head))
+        return sorted(f.path for f in found if f.is_file and fnmatch.fnmatch(f.base_name, tail))
+    info = store.get_file_info(at)
+    if info.is_file:
+        return [at]
+    found = store.get_file_info(fs.FileSelector(at, recursive=True))
+    return sorted(f.path for f in found if f.is_file and f.base_name.endswith((".warc", ".warc.gz")))
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(path, version, headers, body, compressed, error) of the records of files, plain or gzip, which are read as streams:
+    a record at a time is in memory. Where a file can't be read on, its last row has the error; the rows before it stay."""
+    register(spark)
+    return spark.read.format("warc").load(path)
 
 
 def _batch(rows):
@@ -150,34 +161,43 @@ def recoded(entries: DataFrame, packed: bool) -> DataFrame:
             if rows:
                 yield _batch(rows)
 
-    return entries.mapInArrow(run, f"path string, {SCHEMA}, error string")
+    return entries.mapInArrow(run, SCHEMA)
 
 
-def write_warc(docs: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z") -> None:
-    """Writes (url, content) as files of compressed response records, one per partition, each to its name at once when it
-    is whole."""
+def write_warc(docs: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", own_ids: bool = False, packed: bool = True) -> None:
+    """Writes (url, content) as files of response records beside those that are there, one per partition, each to its name
+    at once when it is whole. A record's id is its url, or with own_ids, as a crawler writes them, a UUID of url and body."""
+    call = uuid.uuid4().hex[:12]
 
     def run(batches):
-        import os
-
         from pyspark import TaskContext
 
-        at = TaskContext.get()
-        os.makedirs(path, exist_ok=True)
-        name = f"{path}/part-{at.partitionId():05d}.warc"
-        with open(f"{name}.{at.taskAttemptId()}.tmp", "wb") as f:
-            n = 0
+        task = TaskContext.get()
+        store, at = _file_system(path)
+        store.create_dir(at)
+        name = f"{at}/part-{call}-{task.partitionId():05d}.warc"
+        part, n = f"{name}.{task.taskAttemptId()}.tmp", 0
+        with store.open_output_stream(part) as f:
             for batch in batches:
                 for url, content in zip(batch["url"].to_pylist(), batch["content"].to_pylist()):
-                    headers = {"WARC-Record-ID": f"<{url}>", "WARC-Type": "response", "WARC-Target-URI": url, "WARC-Date": date}
-                    f.write(record_bytes(*compress(headers, (content or "").encode("utf-8"))))
+                    body = (content or "").encode("utf-8")
+                    mark = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, url + hashlib.md5(body).hexdigest())}>" if own_ids else f"<{url}>"
+                    headers = {"WARC-Record-ID": mark, "WARC-Type": "response", "WARC-Target-URI": url, "WARC-Date": date}
+                    f.write(record_bytes(*(compress(headers, body) if packed else (headers, body))))
                     n += 1
-        os.replace(f.name, name)
+        store.move(part, name)
         yield pa.record_batch([pa.array([name]), pa.array([n])], names=["name", "n"])
 
     docs.select("url", "content").where("url IS NOT NULL").mapInArrow(run, "name string, n bigint").count()
 
 
+def posted(entries: DataFrame, post, size: int = 1) -> DataFrame:
+    """(url, error) after posting the records that have a target and a UTF-8 body."""
+    from lodestack.sources.docs import post_each
+
+    return post_each(to_docs(entries)[0], post, size)
+
+
 class WarcSource(DataSource):
     """spark.read.format("warc"): a row per record of the files of a folder, a partition per file."""
 
@@ -194,19 +214,28 @@ class WarcSource(DataSource):
 
 class WarcReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self):
-        import os
-
-        names = [self.path] if os.path.isfile(self.path) else sorted(f"{d}/{n}" for d, _, ns in os.walk(self.path) for n in ns if n.endswith((".warc", ".warc.gz")))
-        return [InputPartition(n) for n in names]
+        return [InputPartition(n) for n in _names(self.path)]
 
     def read(self, partition):
-        name = partition.value
-        with gzip.open(name) if name.endswith(".gz") else open(name, "rb") as f:
-            for version, headers, body in records(f):
-                yield version, headers, body, is_packed(headers)
+        name, rows, error = partition.value, [], None
+        store, _ = _file_system(self.path)
+        with store.open_input_stream(name, compression=None) as raw:
+            f = io.BufferedReader(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw, 1 << 20)
+            try:
+                for version, headers, body in records(f):
+                    rows.append((name, version, list(headers.items()), body, is_packed(headers), None))
+                    if len(rows) == BATCH:
+                        yield _batch(rows)
+                        rows = []
+            except (WarcError, OSError, EOFError, UnicodeDecodeError, zlib.error) as e:
+                error = str(e)
+        if error:
+            rows.append((name, None, None, None, None, error))
+        if rows:
+            yield _batch(rows)
 
 
 def register(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from lodestack.functions import urls as U
 from lodestack.operators.crawl import DELAY
@@ -47,10 +48,14 @@ class Frontier:
         return "url", url
 
 
-def submitted(urls: DataFrame) -> DataFrame:
-    """(url, host) of a stream (url), each url once; urls without a host are no pages."""
-    own = urls.select(U.without_fragment(F.col("url")).alias("url"))
-    return own.withColumn("host", U.host(F.col("url"))).where("host IS NOT NULL").dropDuplicates(["url"])
+def submitted(urls: DataFrame, within: str | None = None, at: str = "ts") -> DataFrame:
+    """(url, host) of a stream (url), each url once; urls without a host are no pages. Once is once ever, so the state
+    grows with the urls; with `within` (as "7 days") it is once in that time of the column `at`, and state is let go."""
+    own = urls.select(U.without_fragment(F.col("url")).alias("url"), *([at] if within else []))
+    own = own.withColumn("host", U.host(F.col("url"))).where("host IS NOT NULL")
+    if within:
+        return own.withWatermark(at, within).dropDuplicatesWithinWatermark(["url"])
+    return own.dropDuplicates(["url"])
 
 
 def polite(stream: DataFrame, delay: float = DELAY) -> DataFrame:
@@ -70,3 +75,68 @@ def polite(stream: DataFrame, delay: float = DELAY) -> DataFrame:
         state.update((free,))
 
     return stream.groupBy("host").applyInPandasWithState(each, "host string, url string, at timestamp", "free bigint", "append", "NoTimeout")
+
+
+class _Held(StatefulProcessor):
+    """Per host the urls that wait, and when the next may go; a timer lets one go at a time."""
+
+    def __init__(self, delay: float):
+        self.delay = round(delay * 1000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "url string")
+        self.free = handle.getValueState("free", "at bigint")
+
+    def _let_go(self, host: str, now: int) -> Iterator[pd.DataFrame]:
+        """Lets the first url go if it may; sets the timer for the next. A host is forgotten with its last url."""
+        urls = [r[0] for r in self.waiting.get()]
+        free = self.free.get()[0] if self.free.exists() else now
+        if urls and free <= now:
+            yield pd.DataFrame({"host": [host], "url": [urls[0]], "at": [now]})
+            urls, free = urls[1:], now + self.delay
+        if urls:
+            self.waiting.put([(u,) for u in urls])
+            self.free.update((free,))
+            self.handle.registerTimer(free)
+        else:
+            self.waiting.clear()
+            if free <= now:
+                self.free.clear()
+            else:
+                self.free.update((free,))
+                self.handle.registerTimer(free)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(u,) for part in rows for u in part["url"]]
+        if new:
+            self.waiting.appendList(new)
+        if not self.free.exists() or not any(True for _ in self.handle.listTimers()):
+            yield from self._let_go(key[0], timerValues.getCurrentProcessingTimeInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._let_go(key[0], timerValues.getCurrentProcessingTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def held(stream: DataFrame, delay: float = DELAY) -> DataFrame:
+    """(host, url, at) of a stream (host, url): each url is held back until its host may be asked again, by a timer of its
+    host; at is in milliseconds. Needs the RocksDB state store. The stream must run on, since timers fire with batches."""
+    return stream.groupBy("host").transformWithStateInPandas(_Held(delay), "host string, url string, at bigint", "append", "ProcessingTime")
+
+
+def next_urls(waiting: DataFrame, hosts: DataFrame, now: int, delay: float = DELAY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One step of a frontier kept in tables: waiting (url, host) urls and hosts (host, free) with the microsecond from
+    which on each may be asked, unknown hosts at once. Gives what is taken (url, host, at), one url of each host that is
+    free, and the tables after it: nothing is lost while a host is waited for, and a host's time only moves on. A host
+    without urls is forgotten once it is free."""
+    first = waiting.groupBy("host").agg(F.min("url").alias("url"), F.count("*").alias("n"))
+    due = first.join(hosts.groupBy("host").agg(F.max("free").alias("free")), "host", "full")
+    may = F.coalesce(F.col("free"), F.lit(0)) <= now
+    taken = due.where(may & F.col("url").isNotNull()).select("url", "host", F.lit(now).alias("at"))
+    left = waiting.join(taken.select("url", "host"), ["url", "host"], "left_anti")
+    step = F.when(may & F.col("url").isNotNull(), F.lit(now + round(delay * 1e6))).otherwise(F.col("free"))
+    kept = due.where(F.col("url").isNotNull() & (F.col("n") > 1) | ~may | (F.col("url").isNotNull() & ~may))
+    return taken, left, kept.select("host", step.alias("free"))

@@ -1,4 +1,4 @@
-"""Indexing of a stream: each micro-batch becomes a component."""
+"""Indexing of a stream: each micro-batch becomes a component of a collection."""
 
 from __future__ import annotations
 
@@ -6,22 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestack.operators import index as I
+from lodestack.plans.engine import SearchEngine
 
 
-def indexed(stream: DataFrame, path: str, checkpoint: str, collection: str = "default") -> StreamingQuery:
-    """Writes a stream (url, content) to an index. A batch that is run again writes the same component again, in place of
-    what was there."""
+def indexed(stream: DataFrame, engine: SearchEngine, collection: str, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """Indexes a stream (url, content), with content, metadata and one step of compaction per batch. A batch that is run
+    again is found to be there."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        docs = batch.withColumn("collection", F.lit(collection)).withColumn("component_id", F.lit(f"stream-{epoch:09d}"))
-        spark = batch.sparkSession
-        before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            I.write(I.build(docs), path, mode="overwrite")
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        engine.index_docs(collection, batch, component=f"{name}-{epoch:012d}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__
+from lodestack import queries as core
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,7 +33,7 @@ def test_the_rest_stands_without_the_llm_folder(monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["bm25_search", "structured_and_or_sub", "merge_url_dedupe", "host_schedule"])
+@pytest.mark.parametrize("name", sorted(set(__spark_entry__.oracle_sql()) & set(core.queries())))
 def test_queries_match_their_sql(spark, name):
     import duckdb
 

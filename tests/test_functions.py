@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import hashing, html, scoring, text, urls
 from lodestack.plans.patterns import checked, prefix_of
 
+# Terms of texts, and references as they are resolved, that the tokenizer and the crawler must give.
 GOLDEN = {
     "": [],
     "!!!@@@###": [],
@@ -44,6 +45,7 @@ def test_spelling_terms_and_names(spark):
     assert [r[0] for r in df.select(text.valid_collection(F.col("n"))).collect()] == [True, True, False, True]
 
 
+# See GOLDEN.
 RESOLVED = [
     (None, "http://lambda-the-ultimate.org", "node/user", "http://lambda-the-ultimate.org/node/user"),
     ("http://lambda-the-ultimate.org/", "http://lambda-the-ultimate.org/node/user", "archive/2020/05/04", "http://lambda-the-ultimate.org/archive/2020/05/04"),
@@ -70,7 +72,8 @@ def test_hosts(spark):
     ("https://example.org", "https://a.example.org/x", True), ("https://example.org", "https://example.org", True),
     ("https://example.org", "http://example.org", False), ("https://www.example.org", "https://example.org/", False),
     ("https://www.example.org", "https://www.example.org/", True), ("example.org", "http://example.org/", True),
-    ("https://example.org", "https://exampleXorg/", False),
+    ("https://example.org", "https://exampleXorg/", False), ("https://example.org", "https://a.b.example.org/", False),
+    ("https://www.example.org", "https://a.b.example.org/", False), ("https://example.org", "https://evil/x.example.org", False),
 ])
 def test_allowed_patterns(seed, url, ok):
     import re
@@ -88,6 +91,23 @@ def test_html_fields(spark):
     assert got[1].t == "name.txt" and got[2].t is None
 
 
+def test_html_of_real_pages(spark):
+    page = "<HEAD><title>\n A &amp; B &#8211; &#x43;&nope; &lt;i&gt; </title><meta name=key content=bare><meta content='it&apos;s' name=\"q\"></HEAD><title>no</title><a data-href='no'>n</a><a\nhref=x/y?a=1&amp;b=2 class=z>t</a><abbr href='no'>"
+    rows = [("http://h", page), ("http://h", "<title>no head</title>"), ("file:///d/f", "<title>no head</title>"), ("http://h", "& alone &; &#0; &#99999999; &amp")]
+    df = spark.createDataFrame(rows, "url string, html string")
+    got = df.select(html.title(F.col("html"), F.col("url")).alias("t"), html.meta_pairs(F.col("html")).alias("m"), html.links(F.col("html")).alias("l"), html.unescaped(F.col("html")).alias("u")).collect()
+    assert got[0].t == "A & B – C&nope; <i>" and got[0].m == {"key": "bare", "q": "it's"} and got[0].l == ["x/y?a=1&b=2"]
+    assert got[1].t is None and got[2].t == "f" and got[3].u == rows[3][1]
+
+
+def test_escapes(spark):
+    texts = ["", "a\nb\r\\n", "\\\\", "plain ä", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("e", text.escaped(F.col("t")))
+    rows = df.select("t", "e", text.unescaped(F.col("e")).alias("u")).collect()
+    assert [r.u for r in rows] == texts and rows[1].e == "a\\nb\\r\\\\n" and not any(c in (r.e or "") for r in rows for c in "\n\r")
+    assert spark.createDataFrame([("a\\x",), ("a\\",)], "e string").select(text.unescaped(F.col("e"))).collect() == [(None,), (None,)]
+
+
 def test_scores_and_hashes(spark):
     one = spark.range(1)
     idf, sat = one.select(scoring.idf(F.lit(10), F.lit(8)), scoring.saturation(F.lit(2), F.lit(10), F.lit(10))).first()
