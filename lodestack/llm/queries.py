@@ -124,17 +124,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_mixture.shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return p10_personal.personal(docs, p10_personal.Names.of(docs))
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _personal(spark, sf_dir).select("doc_id", F.inline("found")).distinct()
+    docs = _documents(spark, sf_dir)
+    return p10_personal.personal(docs, p10_personal.Names.of(docs), clean=False).select("doc_id", F.inline("found")).distinct()
 
 
 def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _personal(spark, sf_dir).select("doc_id", "clean").distinct()
+    docs = _documents(spark, sf_dir)
+    known = p10_personal.Names.of(docs)
+    return p10_personal.personal(docs, known, terms=p10_personal.revealing(docs, known)).select("doc_id", "clean").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

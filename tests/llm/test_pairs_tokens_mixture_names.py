@@ -159,7 +159,7 @@ TEXTS = [
 MORE = [f"{g} {s} opened the ticket, says {s.lower()}{k}@mail.example." for k in range(2) for g in ("Mara", "Oskar", "Jan", "Ines") for s in ("Holtwick", "Holtfold", "Brackwick", "Lundfold")]
 
 
-def test_pieces_are_found(spark):
+def test_pieces_are_found(spark, monkeypatch):
     rows = list(enumerate([*TEXTS, *MORE, None, "", "x " * 50_000, "Storm Mara passed. Storm Mara passed."]))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("found", F.lit(1)).withColumn("kind", F.lit(2))
     known = P10.Names.of(docs)
@@ -173,4 +173,52 @@ def test_pieces_are_found(spark):
     n = len(TEXTS) + len(MORE)
     assert got[n].clean is None and got[n].found == [] and got[n + 1].clean == "" and pieces[n + 3] == set()
     assert got[0].clean.startswith("Write to [EMAIL], or [EMAIL]. The mail goes") and "[NAME] met [NAME]" in got[4].clean
-    assert P10.Names.of(docs.where("false")).surnames == set()
+    assert P10.Names.of(docs.where("false")).known.count() == 0
+    # words are joined where they are too many to broadcast, with the same result
+    monkeypatch.setattr(P10, "BROADCAST_WORDS", -1)
+    joined = {r.doc_id: r for r in P10.personal(docs, known, terms=P10.revealing(docs, known)).collect()}
+    assert {i: (r.found, r.clean) for i, r in joined.items()} == {i: (r.found, r.clean) for i, r in got.items()}
+    monkeypatch.undo()
+    # what a word discloses decides: with a bar nothing reaches, no name is found
+    monkeypatch.setattr(P10, "DISCLOSURE", 99.0)
+    none = P10.personal(docs, P10.Names.of(docs), clean=False).collect()
+    assert {p.kind for r in none for p in r.found} == {"email", "phone", "id", "address"} and all(r.clean is None for r in none)
+
+
+def filler(rng, n):
+    return " ".join(rng.choice("the quiet harbour keeps a ledger and every boat is counted at noon by the old bridge".split()) for _ in range(n))
+
+
+def test_disclosure_over_a_corpus(spark):
+    rng = random.Random(10)
+    givens = "Ada Ben Cleo Dan Eva Finn Gus Hana".split()
+    rows = [f"{filler(rng, 40)} {rng.choice(givens)} {s} {filler(rng, 30)}. The Street View of {filler(rng, 5)}." for s in ("Ng", "Holtwick", "Лунин", "Söderbrack") for _ in range(12)]
+    rows += [f"{filler(rng, 30)}. {filler(rng, 60)}" for _ in range(60)]
+    # a firm that is met with one person only reveals them; one that is met with anybody doesn't
+    rows += [f"{filler(rng, 20)} Ada Holtwick of Zarquon wrote {filler(rng, 20)}" for _ in range(5)] + [f"{filler(rng, 20)} {g} {s} of Marlow wrote {filler(rng, 20)}" for g, s in zip(givens, ("Ng", "Holtwick") * 4)]
+    rows += ["Zarquon sails.", "Marlow sails, and Holtwick too."]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    known = P10.Names.of(docs)
+    got = {r.doc_id: r for r in P10.personal(docs, known, terms=P10.revealing(docs, known)).collect()}
+    assert all(len(got[i].found) == 1 and got[i].found[0].kind == "name" for i in range(48)) and not any(got[i].found for i in range(48, 108))
+    assert all(p.found.endswith("ng") for i in range(12) for p in got[i].found) and "Street View" in got[0].clean
+    assert got[len(rows) - 2].clean == "[TERM] sails." and got[len(rows) - 1].clean == "Marlow sails, and [NAME] too."
+
+
+def test_spans_are_those_of_the_whole_patterns():
+    texts = [*TEXTS, "a@b.example c at d dot example e(at)f.example.com @x @ y", "Tel. +49 30 123456, 10 Long Mill Hill Road, ул. Новая, д. 5", "é@ü.example " * 3, "1" * 40, "0049 (0)30 123456 / AB123456C, x@y", ""]
+    for t in texts:
+        out, taken, rest = [], [], t
+        for kind, form in (("email", P10.EMAIL), ("address", P10.ADDRESS), ("id", P10.IDENTITY), ("phone", P10.PHONE)):
+            for m in form.finditer(rest):
+                a, b = m.span()
+                if any(a < y and x < b for x, y in taken):
+                    continue
+                if kind in ("id", "phone") and (P10.NO_NUMBER_BEFORE.search(t, max(0, a - 16), a) or P10.NO_NUMBER_AFTER.match(t, b)):
+                    continue
+                if kind == "phone" and not 7 <= sum(map(str.isdigit, m.group())) <= 15:
+                    continue
+                taken.append((a, b))
+                out.append((a, b, kind))
+            rest = P10._masked(t, sorted(out), "@")
+        assert P10.numbers_and_addresses(t) == sorted(out)
