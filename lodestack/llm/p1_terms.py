@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.operators.tables import Files, session_dir
+
 from .common import written
 
 #: A term of at most so many records is rare; one of at least this share of all records is common.
 RARE, COMMON = 2, 0.25
+#: Partitions of the persistent counts.
+PARTS = 64
 
 
 def one_per_doc(docs: DataFrame) -> DataFrame:
     """Each doc_id once: (doc_id, term_frequencies).
 
-    Of several rows of a doc_id the latest indexed_at counts, of those the least map by hash. A null doc_id is no
-    record; a null map is a record without terms. Other columns are left behind, whatever their names.
+    Of several rows of a doc_id the latest indexed_at counts, of those the greatest map by hash. A null doc_id is no
+    record; a null map is a record without terms. Other columns are left behind, whatever their names. Only ids are
+    counted for it; maps are compared, and move, of the ids that repeat.
     """
-    print_ = F.xxhash64(F.array_sort(F.map_entries("term_frequencies")))
-    age = F.struct(F.coalesce(F.unix_micros("indexed_at"), F.lit(-1 << 62)).alias("t"), print_.alias("h"))
-    return (
-        docs.where("doc_id IS NOT NULL")
-        .select("doc_id", "term_frequencies", age.alias("age"))
-        .groupBy("doc_id")
-        .agg(F.max_by("term_frequencies", "age").alias("term_frequencies"))
-    )
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "term_frequencies", F.coalesce(F.unix_micros("indexed_at"), F.lit(-1 << 62)).alias("t"))
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    age = F.struct("t", F.xxhash64(F.array_sort(F.map_entries("term_frequencies"))))
+    best = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("term_frequencies", age).alias("term_frequencies"))
+    return rows.join(again, "doc_id", "left_anti").select("doc_id", "term_frequencies").unionByName(best)
 
 
 def postings(docs: DataFrame, *keep: str) -> DataFrame:
@@ -42,50 +46,53 @@ def deltas(new: DataFrame, old: DataFrame | None = None) -> DataFrame:
     if old is None:
         signed = postings(new.withColumn("sign", F.lit(1)), "sign")
     else:
+        # marks of all records, maps of the changed ones only
         mark = F.xxhash64(F.array_sort(F.map_entries("term_frequencies")))
-        n = new.select("doc_id", F.col("term_frequencies").alias("n"), mark.alias("n_mark"))
-        o = old.select("doc_id", F.col("term_frequencies").alias("o"), mark.alias("o_mark"))
-        changed = n.join(o, "doc_id", "full").where("NOT n_mark <=> o_mark")
-        both = F.array(
-            F.struct(F.lit(1).alias("sign"), F.col("n").alias("term_frequencies")),
-            F.struct(F.lit(-1).alias("sign"), F.col("o").alias("term_frequencies")),
-        )
-        signed = postings(changed.select("doc_id", F.inline(both)), "sign")
+        n, o = new.select("doc_id", mark.alias("n")), old.select("doc_id", mark.alias("o"))
+        changed = written(n.join(o, "doc_id", "full").where("NOT n <=> o").select("doc_id"), "changed-records")
+        of = lambda df, sign: df.join(changed, "doc_id", "left_semi").withColumn("sign", F.lit(sign))
+        signed = postings(of(new, 1).unionByName(of(old, -1)), "sign")
     return signed.groupBy("term").agg(
         F.sum(F.col("sign") * F.col("tf").cast("bigint")).alias("d_occ"), F.sum(F.col("sign").cast("bigint")).alias("d_docs")
     )
 
 
 class TermCounts:
-    """The persistent counts of a collection: (term, occurrences, doc_freq), and how many records they come from."""
+    """The persistent counts of a collection, (term, occurrences, doc_freq), in PARTS partitions by a hash of the term, and
+    how many records they come from. A partition is a folder; a version says which folder of each partition counts."""
+
+    def __init__(self, spark: SparkSession, parts: dict[int, str], n_docs: int):
+        self.spark, self.parts, self.n_docs = spark, parts, n_docs
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._read(self.parts.values())
 
-    def __init__(self, counts: DataFrame, n_docs: int):
-        self.counts, self.n_docs = counts, n_docs
+    def _read(self, paths) -> DataFrame:
+        return self.spark.read.schema(_COUNTS).parquet(*paths) if paths else self.spark.createDataFrame([], _COUNTS)
 
     @classmethod
     def of(cls, docs: DataFrame) -> TermCounts:
         """The counts of a first load: a delta against nothing."""
-        return cls.empty(docs).updated(docs)
-
-    @classmethod
-    def empty(cls, like: DataFrame) -> TermCounts:
-        schema = "term string, occurrences bigint, doc_freq bigint"
-        return cls(like.sparkSession.createDataFrame([], schema), 0)
+        return cls(docs.sparkSession, {}, 0).updated(docs)
 
     def updated(self, new: DataFrame, old: DataFrame | None = None) -> TermCounts:
-        """Merges the change from `old` to `new` (all records of each doc_id touched) and writes the new version.
+        """Merges the change from `old` to `new` (all records of each doc_id touched) into a new version. Only partitions
+        with terms of the change are read and written; the others are those of this version.
 
         Terms whose record count falls to 0 leave the table.
         """
-        change = deltas(new, old).select("term", F.col("d_occ").alias("occurrences"), F.col("d_docs").alias("doc_freq"))
-        total = (
-            self.counts.unionByName(change)
-            .groupBy("term")
-            .agg(F.sum("occurrences").alias("occurrences"), F.sum("doc_freq").alias("doc_freq"))
-            .where("doc_freq > 0")
-        )
+        part = F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int").alias("part")
+        change = written(deltas(new, old).select("term", F.col("d_occ").alias("occurrences"), F.col("d_docs").alias("doc_freq")), "term-deltas")
+        touched = [r.part for r in change.select(part).distinct().collect()]  # at most PARTS
+        before = self._read([self.parts[p] for p in touched if p in self.parts])
+        total = before.unionByName(change).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("doc_freq").alias("doc_freq")).where("doc_freq > 0")
+        at = f"{session_dir(self.spark)}/term-counts-{uuid.uuid4().hex}"
+        total.withColumn("part", part).repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(at)
+        there = {int(n.split("=")[1]) for n in Files(self.spark).names(at) if n.startswith("part=")}
+        parts = {p: x for p, x in self.parts.items() if p not in touched} | {p: f"{at}/part={p}" for p in there}
         n = self.n_docs + new.count() - (old.count() if old is not None else 0)
-        return TermCounts(written(total, "term-counts"), n)
+        return TermCounts(self.spark, parts, n)
 
     def mark(self, rare: int = RARE, common: float = COMMON) -> Column:
         """`rare`, `common` or null. In a collection so small that a term is both, it is rare."""
@@ -94,3 +101,6 @@ class TermCounts:
 
     def marked(self) -> DataFrame:
         return self.counts.withColumn("mark", self.mark())
+
+
+_COUNTS = "term string, occurrences bigint, doc_freq bigint"

@@ -52,7 +52,8 @@ def scores(docs: DataFrame, min_doc_freq: int = MIN_DOC_FREQ, mu: float = MU, mi
 
 
 def distinctive(scored: DataFrame, min_tf: int = 4, min_doc_freq: int = 3, times: int = 20) -> DataFrame:
-    """The scored terms whose share of the record is at least `times` their share of the collection."""
+    """The scored terms whose share of the record is at least `times` their share of the collection: an exact condition,
+    which a positive score follows from."""
     exact = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731 - products of counts outgrow 64 bits
     share = exact("tf") * exact("total_len") >= F.lit(times).cast("decimal(3,0)") * (exact("coll_freq") * exact("true_len")).cast("decimal(35,0)")
     return scored.where((F.col("score") > 0) & (F.col("tf") >= min_tf) & (F.col("doc_freq") >= min_doc_freq) & share)

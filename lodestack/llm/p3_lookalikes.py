@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import chunks, decoded_all, laid_out, written
 
-# Letters that look like a Latin letter, after the confusable characters of Unicode TR 39. Each line has
-# the Latin letter and its look-alikes of the Cyrillic, Greek, Armenian and phonetic alphabets and the number forms.
+# Letters that look like a Latin letter, after the confusable characters of Unicode TR 39: those of the
+# alphabets that are written with Latin ones in everyday texts. Each line has the Latin letter and its look-alikes of the
+# Cyrillic, Greek, Armenian and phonetic alphabets and the number forms. Letters of rarer scripts, styled mathematical
+# letters and digits stay what they are: they are seen to differ.
 LOOKALIKES = """
 A А Α
 B В Β
@@ -68,6 +70,9 @@ INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\
 #: Kinds of compatibility that are a matter of width, of joined letters or of space, not of what is seen.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>")
 
+#: Rows of one form whose pairs are made in one task.
+SPLIT = 1000
+
 _LATIN = {other: line.split()[0] for line in LOOKALIKES.strip().splitlines() for other in line.split()[1:]}
 
 
@@ -121,6 +126,9 @@ class Lookalikes:
             self.rewrite |= {s: best for s in group if s != best and s}
         self.invisible = {ord(s): None for s, r in self.rewrite.items() if not r and len(s) == 1}
         self.ascii_moves = any(s.isascii() for s in self.rewrite)
+        # what texts are looked through for: points that are rewritten by themselves, and marks that may make up a pattern
+        self.points = {ord(s): r for s, r in self.rewrite.items() if len(s) == 1}
+        self.marks = {ord(s[-1]) for s in self.rewrite if len(s) > 1}
         self.automaton = ahocorasick.Automaton()
         for s, r in self.rewrite.items():
             self.automaton.add_word(s, (len(s), r))
@@ -149,6 +157,23 @@ class Lookalikes:
             at = end + 1
         return ("".join(parts) + text[at:]).strip() if parts else text.strip()
 
+    def forms(self, texts: list[str]) -> list[str]:
+        """`form` of each text. Which texts hold a point that is rewritten, or a mark of a pattern of several, is read off
+        arrays; the automaton runs over those with such a mark only, points by themselves are exchanged at once."""
+        if not self.rewrite:
+            return [t.strip() for t in texts]
+        if not hasattr(self, "_class"):
+            self._class = np.zeros(0x110000, np.int8)
+            self._class[list(self.points)] = 1
+            self._class[[m for m in self.marks]] = 2
+        out = []
+        for lo, hi in chunks(texts):
+            points, begins, _ = laid_out(texts[lo:hi])
+            most = np.maximum.reduceat(self._class[points], begins)
+            for t, k in zip(texts[lo:hi], most.tolist()):
+                out.append(self.form(t) if k == 2 else t.translate(self.points).strip() if k else t.strip())
+        return out
+
 
 def point_counts(*texts: DataFrame) -> DataFrame:
     """(point, n): how often each code point occurs in (text, compression) of the tables. At most as many rows as Unicode
@@ -191,7 +216,9 @@ def consistent(df: DataFrame, looks: Lookalikes, keep: list[str], as_prints: boo
         own = shared.value
         for batch in batches:
             texts = decoded_all(batch["text"].to_pylist(), batch["compression"].to_pylist())
-            forms = [None if t is None else own.form(t) for t in texts]
+            there = own.forms([t for t in texts if t is not None])
+            of = iter(there)
+            forms = [None if t is None else next(of) for t in texts]
             if as_prints:
                 texts, forms = ([None if t is None else xxhash.xxh3_128_digest(t.encode("utf-8")) for t in x] for x in (texts, forms))
             kind = pa.binary() if as_prints else pa.string()
@@ -210,9 +237,13 @@ def same_look(forms: DataFrame, within: str, key: str) -> DataFrame:
     rows = forms.where(F.col("text").isNotNull() & F.col(within).isNotNull() & F.col(key).isNotNull())
     rows = rows.select(F.xxhash64(within, "form").alias("h"), F.xxhash64("text").alias("t"), within, key, "text", "form")
     rows = written(rows, "forms")
-    mixed = rows.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("h")
-    few = written(rows.join(mixed, "h", "left_semi").distinct(), "same-look")
-    a, b = (few.select("h", *(F.col(c).alias(f"{s}_{i}") for i, c in enumerate((within, key, "text", "form")))) for s in "ab")
+    mixed = rows.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    # a form of many rows is split: one side of the join by a hash of its key, the other side goes to all splits
+    mixed = mixed.select("h", F.ceil(F.col("n") / SPLIT).cast("int").alias("splits"))
+    few = written(rows.join(mixed, "h").distinct(), "same-look")
+    a, b = (few.select("h", "splits", *(F.col(c).alias(f"{s}_{i}") for i, c in enumerate((within, key, "text", "form")))) for s in "ab")
+    a = a.withColumn("split", F.pmod(F.xxhash64("a_1"), F.col("splits")).cast("int"))
+    b = b.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
     same = (F.col("a_0") == F.col("b_0")) & (F.col("a_3") == F.col("b_3")) & (F.col("a_2") != F.col("b_2"))
-    pairs = a.join(b, "h").where(same & (F.col("a_1") < F.col("b_1")))
+    pairs = a.join(b, ["h", "split"]).where(same & (F.col("a_1") < F.col("b_1")))
     return pairs.select(F.col("a_1").alias("id_a"), F.col("b_1").alias("id_b")).distinct()

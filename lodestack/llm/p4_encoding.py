@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import chunks, decoded_all, laid_out
 from .p3_lookalikes import skeleton_is_ascii
 
-#: Pairs of at least this share of all records are kept. Their number is at most (pairs of a record) / LEAST_SHARE.
-LEAST_SHARE, LEAST_DOCS = 1e-4, 3
+#: What a pair must exceed, as a share of all records, to count. The pairs that do are at most (pairs of a record) /
+#: LEAST_SHARE.
+LEAST_SHARE = 1e-4
 #: A pair of a lower strength is improbable. Gain of an improbable pair and price of any other in a run's score.
 STRONG, GAIN, PRICE = 8.0, 6, 1
 #: How much stronger, on average over its pairs, restored text must be than what it replaces; strength it must reach.
@@ -177,13 +178,16 @@ def _unique_by(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 class PairModel:
     """Strength of a pair: log2 of its part of the corpus's mutual information between left and right character, for
-    10,000 records; a pair counts a bit at least, however common its characters are. Pairs not kept are 0."""
+    10,000 records; a pair counts a bit at least, however common its characters are. Of its records only those count that
+    are surely more than LEAST_SHARE of all, so that strength rises from 0 without a step, in collections of any size."""
 
     def __init__(self, pairs: np.ndarray, docs: np.ndarray, n_docs: int):
+        sure = docs - np.sqrt(3.0 * docs) - LEAST_SHARE * n_docs
+        pairs, sure = pairs[sure > 0], sure[sure > 0]
         order = np.argsort(pairs)
         self.pairs = pairs[order].astype(np.int64)
         self.fixed: dict[str, str | None] = {}
-        n = docs[order].astype(float)
+        n = sure[order].astype(float)
         total = max(1.0, n.sum())
         left, right = self.pairs >> 21, self.pairs & ((1 << 21) - 1)
         by_left = np.bincount(left, weights=n, minlength=1) if len(left) else np.zeros(1)
@@ -194,7 +198,7 @@ class PairModel:
     @classmethod
     def of(cls, docs: DataFrame) -> PairModel:
         n = docs.where("content IS NOT NULL").count()
-        rows = pair_counts(docs).where(F.col("docs") >= max(LEAST_DOCS, LEAST_SHARE * n)).toPandas()
+        rows = pair_counts(docs).where(F.col("docs") - F.sqrt(3 * F.col("docs")) > LEAST_SHARE * n).toPandas()
         return cls(rows["pair"].to_numpy(np.int64), rows["docs"].to_numpy(np.int64), n)
 
     def of_pairs(self, keys: np.ndarray) -> np.ndarray:

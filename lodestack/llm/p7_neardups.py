@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, decoded_all, shingles_of, written
@@ -17,8 +17,11 @@ HASHES, ROWS, BANDS = 96, 3, 20
 #: Sub-bands into which a band key held by more than HOT classes is split: pairs of the MinHash values that no band
 #: uses. At 0.7 a pair shares none of them with probability 6e-6.
 SUB_ROWS, SUB_BANDS, HOT = 2, 18, 500
-#: Bits of an odd sketch. A candidate is dropped unread where its estimate is so far below the threshold.
-SKETCH_BITS, MARGIN = 512, 0.25
+#: Classes of one key, or records of one class, that one task pairs with the others.
+SPLIT = 1000
+#: Bits of an odd sketch. Candidates whose estimate lies so many standard deviations below the threshold are dropped, those
+#: as far above it are taken; only what lies between is checked exactly.
+SKETCH_BITS, SURE = 1024, 3.5
 #: Up to so many classes, the list of candidates is broadcast (8 bytes each); beyond, it is joined by a shuffle.
 BROADCAST_CLASSES = 1_000_000
 
@@ -52,7 +55,7 @@ def sketches(mins: np.ndarray) -> np.ndarray:
     out = np.zeros((mins.shape[1], SKETCH_BITS), np.uint8)
     at = np.arange(mins.shape[1])
     for k in range(len(mins)):
-        bit = ((mins[k] + np.uint64(k << 32)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 9)
+        bit = ((mins[k] + np.uint64(k << 32)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 10)
         out[at, bit.astype(np.int64)] ^= 1
     return np.packbits(out, axis=1)
 
@@ -106,25 +109,42 @@ def shingle_sets(docs: DataFrame, size: int, min_words: int) -> DataFrame:
     return docs.select("input_id", "url", "content", "compression").where("input_id IS NOT NULL AND content IS NOT NULL").mapInArrow(run, _SETS)
 
 
+def deviation(similarity: float) -> float:
+    """Standard deviation of an estimate at a similarity: of the MinHash sample, and of bits that flip back."""
+    flips = 2 * HASHES * (1 - similarity)
+    decay = np.exp(-2 * flips / SKETCH_BITS)
+    odd = SKETCH_BITS / 4 * (1 - decay**2) - flips * decay**2
+    return float(np.sqrt(similarity * (1 - similarity) / HASHES + max(0.0, odd) / (2 * HASHES * decay) ** 2))
+
+
+def _paired(rows: DataFrame, sizes: DataFrame, keys: list[str], left: list[str], right: list[str], by: str) -> DataFrame:
+    """Joins rows with themselves on keys: left columns as a_, right ones as b_. A key of many rows (n in sizes) is split:
+    the left rows by a hash of `by`, the right ones go to all splits, so that no task makes more than SPLIT x n pairs."""
+    rows = rows.join(sizes.select(*keys, F.ceil(F.col("n") / SPLIT).cast("int").alias("splits")), keys)
+    a = rows.select(*keys, F.pmod(F.xxhash64(by), F.col("splits")).cast("int").alias("split"), *(F.col(c).alias(f"a_{c}") for c in left))
+    b = rows.select(*keys, F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), *(F.col(c).alias(f"b_{c}") for c in right))
+    return a.join(b, [*keys, "split"])
+
+
 def _bucket_pairs(keyed: DataFrame, hot: int | None, sets: DataFrame) -> DataFrame:
     """Pairs (a < b) of classes that share a key, from rows (key, ck1).
 
     One aggregation, combined before the shuffle, gives the key's row count and its least and greatest class; it settles
-    keys of one class (however many copies) and of two rows. Only the rows of the other keys are gathered again. Keys of
-    more than `hot` rows are first split by sub-bands.
+    keys of one class (however many copies) and of two rows. Only the rows of the other keys are gathered again, and
+    their classes counted. Keys of more than `hot` classes are first split by sub-bands.
     """
     spread = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("ck1").alias("a"), F.max("ck1").alias("b")).where("a < b")
     spread = written(spread, "band-keys")
     pairs = spread.where("n = 2").select("a", "b")
-    few = spread.where("n > 2" + (f" AND n <= {hot}" if hot else "")).select("key")
-    rows = keyed.join(few, "key").distinct()
-    other = rows.select("key", F.col("ck1").alias("b"))
-    pairs = pairs.unionByName(rows.withColumnRenamed("ck1", "a").join(other, "key").where("a < b").select("a", "b"))
-    if hot and (many := spread.where(f"n > {hot}").select("key")).head(1):
-        members = keyed.join(many, "key").select("ck1").distinct()
-        split = sets.join(members, "ck1", "left_semi").select("ck1", "shingles").dropDuplicates(["ck1"])
-        pairs = pairs.unionByName(_bucket_pairs(keyed.join(many, "key").distinct().join(_sub_bands(split), "ck1").select(
-            F.xxhash64("key", "sub").alias("key"), "ck1"), None, sets))
+    rows = written(keyed.join(spread.where("n > 2").select("key"), "key").distinct(), "band-rows")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    few = sizes.where(f"n <= {hot}") if hot else sizes
+    pairs = pairs.unionByName(_paired(rows, few, ["key"], ["ck1"], ["ck1"], "ck1").where("a_ck1 < b_ck1").select(F.col("a_ck1").alias("a"), F.col("b_ck1").alias("b")))
+    if hot and (many := sizes.where(f"n > {hot}").select("key")).head(1):
+        crowded = rows.join(many, "key", "left_semi")
+        split = sets.join(crowded.select("ck1").distinct(), "ck1", "left_semi").select("ck1", "shingles").dropDuplicates(["ck1"])
+        sub = crowded.join(_sub_bands(split), "ck1").select(F.xxhash64("key", "sub").alias("key"), "ck1")
+        pairs = pairs.unionByName(_bucket_pairs(sub, None, sets))
     return pairs
 
 
@@ -162,15 +182,16 @@ def _shares(pairs: DataFrame) -> DataFrame:
     return pairs.select("a1", "a2", "b1", "b2", "x", "y").mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
 
 
-def _by_sketch(threshold: float):
-    @F.pandas_udf("boolean")
-    def close(x, y):
+def _estimate(x: Column, y: Column) -> Column:
+    """The estimate of two columns of sketches."""
+
+    @F.pandas_udf("double")
+    def run(x, y):
         import pandas as pd
 
-        bits = [np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y)]
-        return pd.Series(estimated(*bits) >= threshold - MARGIN)
+        return pd.Series(estimated(*(np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))) if len(x) else [], dtype=float)
 
-    return close
+    return run(x, y)
 
 
 class NearDuplicates:
@@ -198,25 +219,35 @@ class NearDuplicates:
         l, r = (small.select(*(F.col(c).alias(f"{s}_{c}") for c in small.columns)) for s in "ab")
         pairs = self.candidates.join(l, F.col("a") == F.col("a_ck1")).join(r, F.col("b") == F.col("b_ck1"))
         size_ok = F.least("a_n", "b_n") >= F.lit(self.threshold - 1e-9) * F.greatest("a_n", "b_n")
-        pairs = pairs.where(size_ok).where(_by_sketch(self.threshold)("a_sketch", "b_sketch"))
-        pairs = pairs.selectExpr("a_ck1 AS a1", "a_ck2 AS a2", "b_ck1 AS b1", "b_ck2 AS b2")
+        pairs = pairs.where(size_ok).select("a_ck1", "a_ck2", "b_ck1", "b_ck2", _estimate(F.col("a_sketch"), F.col("b_sketch")).alias("estimate"))
+        t, far = self.threshold, SURE * deviation(self.threshold)
+        pairs = written(pairs.where(F.col("estimate") >= t - far).selectExpr("a_ck1 AS a1", "a_ck2 AS a2", "b_ck1 AS b1", "b_ck2 AS b2", "estimate"), "estimates")
+        sure = F.col("estimate") >= t + far
         x = own.selectExpr("ck1 AS a1", "ck2 AS a2", "shingles AS x")
         y = own.selectExpr("ck1 AS b1", "ck2 AS b2", "shingles AS y")
-        return _shares(pairs.join(x, ["a1", "a2"]).join(y, ["b1", "b2"])).where(F.col("similarity") >= self.threshold)
+        checked = _shares(pairs.where(~sure).join(x, ["a1", "a2"]).join(y, ["b1", "b2"])).where(F.col("similarity") >= t)
+        return checked.unionByName(pairs.where(sure).withColumnRenamed("estimate", "similarity"))
 
     def members(self) -> DataFrame:
         return self.sets.select("input_id", "url", "ck1", "ck2").distinct()
 
     def pairs(self) -> DataFrame:
-        """(id_a, id_b), id_a < id_b: every two records of different urls whose classes are linked or the same."""
+        """(id_a, id_b), id_a < id_b: every two records of different urls whose classes are linked or the same. The records
+        of a class are split over tasks where they are many."""
         m = self.members()
-        a, b = (m.select(*(F.col(c).alias(f"{s}_{c}") for c in m.columns)) for s in "ab")
-        linked = self.links.join(a, (F.col("a_ck1") == F.col("a1")) & (F.col("a_ck2") == F.col("a2")))
-        linked = linked.join(b, (F.col("b_ck1") == F.col("b1")) & (F.col("b_ck2") == F.col("b2")))
-        shared = m.groupBy("ck1", "ck2").agg(F.min("url").alias("u"), F.max("url").alias("v")).where("u < v").select("ck1", "ck2")
-        copies = m.join(shared, ["ck1", "ck2"])
-        x, y = (copies.select("ck1", "ck2", *(F.col(c).alias(f"{s}_{c}") for c in ("input_id", "url"))) for s in "ab")
-        same = x.join(y, ["ck1", "ck2"]).where("a_input_id < b_input_id")
+        sizes = written(m.groupBy("ck1", "ck2").agg(F.count("*").alias("n"), F.min("url").alias("u"), F.max("url").alias("v")), "class-sizes")
+        parts = F.ceil(F.col("n") / SPLIT).cast("int")
+        parted = m.join(sizes.select("ck1", "ck2", parts.alias("splits")), ["ck1", "ck2"]).withColumn("split", F.pmod(F.xxhash64("input_id"), F.col("splits")).cast("int"))
+        linked = self.links.select("a1", "a2", "b1", "b2")
+        for s in "ab":
+            # of each link a row for each split of the class on one side
+            of = sizes.select(F.col("ck1").alias(f"{s}1"), F.col("ck2").alias(f"{s}2"), F.explode(F.sequence(F.lit(0), parts - 1)).alias(f"{s}_split"))
+            linked = linked.join(of, [f"{s}1", f"{s}2"])
+        for s in "ab":
+            own = parted.select(F.col("ck1").alias(f"{s}1"), F.col("ck2").alias(f"{s}2"), F.col("split").alias(f"{s}_split"), *(F.col(c).alias(f"{s}_{c}") for c in ("input_id", "url")))
+            linked = linked.join(own, [f"{s}1", f"{s}2", f"{s}_split"])
+        cols = ["input_id", "url"]
+        same = _paired(m, sizes.where("u < v"), ["ck1", "ck2"], cols, cols, "input_id").where("a_input_id < b_input_id")
         cols = ["a_input_id", "a_url", "b_input_id", "b_url"]
         both = linked.select(*cols).unionByName(same.select(*cols)).where("NOT a_url <=> b_url AND a_input_id <> b_input_id")
         return both.select(F.least("a_input_id", "b_input_id").alias("id_a"), F.greatest("a_input_id", "b_input_id").alias("id_b")).distinct()

@@ -7,16 +7,16 @@ expression: the pattern's rules are read off arrays of code point classes.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import os
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import PointTable, chunks, laid_out
+from .common import PointTable, _grown, chunks, laid_out, mixed
 
 TOKENIZERS = "/opt/tokenizers"
 #: Pieces whose ids a worker keeps; when full, it starts anew.
@@ -37,8 +37,12 @@ def piece_starts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
     A piece begins where the class changes. A single blank before another class belongs to what follows it; of a longer
     run of spaces the last one stands alone, or is that blank. An apostrophe that begins a piece takes one of the
-    endings with it. Each rule looks at a fixed neighbourhood and at the begin of the run, which one running maximum
-    gives; so all are applied to whole arrays.
+    endings with it.
+
+    Read as an automaton, a code point's transition function is constant but for what its class and those of its
+    neighbours fix: whatever the state before, the state after two code points is the same. Composed functions of an
+    associative scan are thus constant after two steps, and the scan closes there: comparing neighbouring classes over
+    whole arrays is all of it that is left.
     """
     points, begins, ends = laid_out(texts)
     cls = _class.of(points).astype(np.int8)
@@ -78,9 +82,8 @@ def piece_starts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 class Encoder:
     """Ids of texts by the ranks of a .tiktoken file; keeps the ids of pieces it has met."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, data: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
         self.cache: dict[str, list[int]] = {}
 
     def of_piece(self, piece: str) -> list[int]:
@@ -115,31 +118,53 @@ class Encoder:
         id within its piece it is. The last two locate every token for decoding."""
         at, is_piece, begins, _ = piece_starts(texts)
         whole = "\n".join(texts) + "\n"
+        points, _, _ = laid_out(texts)
+        starts, stops = at[is_piece], np.append(at[1:], len(points))[is_piece]
+        # pieces that are alike in a chunk are looked up once
+        power, inverse = _grown(len(points) + 1)
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * power[: len(points)], out=total[1:])
+        prints = mixed((total[stops] - total[starts]) * inverse[starts]) ^ (stops - starts).astype(np.uint64)
+        _, first, which = np.unique(prints, return_index=True, return_inverse=True)
         cache, of_piece = self.cache, self.of_piece
-        first = at.tolist()
         got: list[list[int]] = []
-        for a, b, ok in zip(first, [*first[1:], len(whole)], is_piece.tolist()):
-            if ok:
-                piece = whole[a:b]
-                ids = cache.get(piece)
-                if ids is None:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    ids = cache[piece] = of_piece(piece)
-                got.append(ids)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        starts = at[is_piece]
+        for a, b in zip(starts[first].tolist(), stops[first].tolist()):
+            piece = whole[a:b]
+            ids = cache.get(piece)
+            if ids is None:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                ids = cache[piece] = of_piece(piece)
+            got.append(ids)
+        each = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter((x for g in got for x in g), np.int32, int(each.sum()))
+        sizes = each[which]
+        ends = np.cumsum(sizes)
         row = np.searchsorted(begins, starts, "right") - 1
-        ids = np.fromiter((x for g in got for x in g), np.int32, int(sizes.sum()))
+        from_ = (np.cumsum(each) - each)[which]
+        ids = flat[np.repeat(from_ - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
         counts = np.bincount(row, weights=sizes, minlength=len(texts)).astype(np.int64)
         offset = np.repeat(starts - begins[row], sizes)
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.arange(len(ids)) - np.repeat(ends - sizes, sizes)
         return ids, counts, offset.astype(np.int32), place.astype(np.int32)
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(data: bytes) -> Encoder:
+    """The encoder of a vocabulary, made once in a process."""
+    mark = hashlib.md5(data).hexdigest()
+    if mark not in _encoders:
+        _encoders.clear()
+        _encoders[mark] = Encoder(data)
+    return _encoders[mark]
+
+
+def vocabulary(name: str, folder: str | None = None) -> bytes:
+    """The file of a public tokenizer, a megabyte or two, read by the driver."""
+    with open(tokenizer_path(name, folder), "rb") as f:
+        return f.read()
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -152,11 +177,11 @@ def encoded(docs: DataFrame, text: str = "text", name: str = "byte_bpe_50k", fol
     offsets has, for each id, the first character of the piece it belongs to. Null and empty texts have the empty list
     and 0 tokens. Texts of any length are encoded whole; strings of special tokens are ordinary text.
     """
-    path = tokenizer_path(name, folder)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(name, folder))
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
             for lo, hi in chunks(texts):
@@ -175,7 +200,7 @@ def encoded(docs: DataFrame, text: str = "text", name: str = "byte_bpe_50k", fol
 
 def decoded_text(ids: list[int], name: str = "byte_bpe_50k", folder: str | None = None) -> str:
     """The text of a list of ids."""
-    enc = encoder(tokenizer_path(name, folder))
+    enc = encoder(vocabulary(name, folder))
     if not hasattr(enc, "bytes_of"):
         enc.bytes_of = {b: a for a, b in enc.ranks.items()}
     return b"".join(enc.bytes_of[i] for i in ids).decode("utf-8")

@@ -15,7 +15,9 @@ LANGUAGES = ("de", "en", "es", "fr", "ja", "ru")
 #: Kinds of site, from the first label of the host; all else is "site".
 TOPICS = ("blog", "docs", "forum", "mail", "news", "shop", "wiki", "www")
 #: Rounds of raking; slices into which the sampling keys of a source are cut in each round of the search.
-ROUNDS, SLICES = 60, 1024
+ROUNDS, SLICES = 200, 1024
+#: Relative change of a factor below which raking has converged.
+CONVERGED = 1e-6
 
 
 def language(lang: Column) -> Column:
@@ -45,12 +47,17 @@ def raked(cells: dict[tuple[str, str, str], float], shares: dict[str, float], re
         goals.append((axis, {k: total * n / everything for k, n in own.items()}))
     goals.append((0, {s: total * share for s, share in shares.items()}))
     for _ in range(ROUNDS):
+        moved = 0.0
         for axis, goal in goals:
             now: dict[str, float] = defaultdict(float)
             for c, n in cells.items():
                 now[c[axis]] += n * factor[c]
             for c in cells:
-                factor[c] *= goal[c[axis]] / now[c[axis]] if now[c[axis]] > 0 else 0.0
+                f = goal[c[axis]] / now[c[axis]] if now[c[axis]] > 0 else 0.0
+                factor[c] *= f
+                moved = max(moved, abs(f - 1)) if axis else moved
+        if moved <= CONVERGED:  # the marginals of language and topic hold while those of source are met
+            break
     for s in shares:
         own_cells = [c for c in cells if c[0] == s]
         for _ in range(ROUNDS):  # each pass fixes the cells at the cap and scales the others up
@@ -68,9 +75,13 @@ def raked(cells: dict[tuple[str, str, str], float], shares: dict[str, float], re
 
 
 def sized(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
-    """(doc_id, source, language, topic, n_tokens) of each doc_id once, of the row of the least text."""
-    one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang", "host")).alias("r"))
-    flat = one.select(F.struct("doc_id", "r.source", language(F.col("r.lang")).alias("language"), topic(F.col("r.host")).alias("topic")).alias("doc"), F.col("r.text").alias("text"))
+    """(doc_id, source, language, topic, n_tokens) of each doc_id once, of the row of the least text. Ids are counted; only
+    texts of ids that repeat are compared, all others go where they are to the tokenizer."""
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "source", "lang", "host")
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    first = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang", "host")).alias("r"))
+    one = rows.join(again, "doc_id", "left_anti").unionByName(first.select("doc_id", "r.*"))
+    flat = one.select(F.struct("doc_id", "source", language(F.col("lang")).alias("language"), topic(F.col("host")).alias("topic")).alias("doc"), "text")
     counted = flat.withColumn("doc", F.to_json("doc", {"ignoreNullFields": "false"}))
     counted = encoded(counted, "text", tokenizer, folder, key="doc", counts_only=True)
     doc = F.from_json("doc", "doc_id bigint, source string, language string, topic string")
@@ -78,7 +89,7 @@ def sized(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFra
 
 
 def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = "byte_bpe_50k", folder: str | None = None, seed: int = 9) -> DataFrame:
-    """(doc_id, source, n_tokens, copies): the records of the mixture and how often each occurs.
+    """(doc_id, source, language, topic, n_tokens, copies): the records of the mixture and how often each occurs.
 
     Targets (source, target_share, max_repeats) are a small table; of a repeated source the greatest row counts, a null
     share is 0, null repeats are 1. total_tokens defaults to the largest size, up to that of the documents, at which
@@ -108,7 +119,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     for c, n in cells.items():
         own[c[0]] += n
     if not shares or any(own[s] <= 0 for s in shares):
-        return wanted.where("false").select("doc_id", "source", "n_tokens", F.lit(1).alias("copies"))
+        return wanted.where("false").select("doc_id", "source", "language", "topic", "n_tokens", F.lit(1).alias("copies"))
     feasible = min(own[s] * repeats[s] / share for s, share in shares.items())
     total = min(feasible, total_tokens if total_tokens is not None else sum(own.values()))
     factor = raked(cells, shares, repeats, total)
@@ -118,14 +129,27 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     part = part.withColumn("whole", F.least(F.floor(F.col("f") + 1e-12), F.col("most")).cast("int"))
     frac = F.greatest(F.lit(0.0), F.col("f") - F.col("whole"))
     part = part.withColumn("key", F.when((F.col("whole") < F.col("most")), u / F.greatest(frac, F.lit(1e-9))))
-    part = part.select("doc_id", "source", "n_tokens", "whole", "key")
+    part = part.select("doc_id", "source", "language", "topic", "n_tokens", "whole", "key")
     fixed = {r.source: r.n for r in part.groupBy("source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("n")).collect()}
     limit = _thresholds(part, {s: total * share - fixed.get(s, 0) for s, share in shares.items()})
     bounds = spark.createDataFrame([(s, *b) for s, b in limit.items()], "source string, below double, tie bigint")
     # among equal keys (a doc_id has one row, so only by chance) the lesser doc_id comes first
     inside = (F.col("key") < F.col("below")) | ((F.col("key") == F.col("below")) & (F.col("doc_id") <= F.col("tie")))
     out = part.join(F.broadcast(bounds), "source").withColumn("copies", F.col("whole") + F.when(inside, 1).otherwise(0))
-    return out.where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
+    return out.where("copies > 0").select("doc_id", "source", "language", "topic", "n_tokens", "copies")
+
+
+def marginals(mixed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(axis, value, goal, reached) of the languages and topics of a mixture: their shares in all records of `sizes` (of
+    mixed's columns), which are the goal, and in the mixture. Sources come first, and are capped, so they may differ."""
+    out = None
+    for axis in ("language", "topic"):
+        share = lambda df, n, name: df.groupBy(F.col(axis).alias("value")).agg(F.sum(n).alias(name))  # noqa: B023, E731
+        both = share(sizes, F.col("n_tokens"), "g").join(share(mixed, F.col("n_tokens") * F.col("copies"), "m"), "value", "left").na.fill(0, ["m"])
+        sums = both.agg(F.sum("g").alias("gs"), F.sum("m").alias("ms"))
+        row = both.join(F.broadcast(sums)).select(F.lit(axis).alias("axis"), "value", (F.col("g") / F.col("gs")).alias("goal"), F.when(F.col("ms") > 0, F.col("m") / F.col("ms")).otherwise(0.0).alias("reached"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _thresholds(part: DataFrame, missing: dict[str, float]) -> dict[str, tuple[float, int]]:

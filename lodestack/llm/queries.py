@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import p1_terms, p10_personal, p2_distinctive, p3_lookalikes, p4_encoding, p5_stuffed, p6_body, p7_neardups, p8_encode, p9_mixture
-from .common import table
+from .common import table, written
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> p1_terms.TermCounts:
+    """The counts of the nine tenths of the records that were indexed first, brought up to date by the delta of what was
+    indexed since."""
+    rows = table(spark, sf_dir, "indexed_docs")
+    at = F.coalesce(F.unix_micros("indexed_at"), F.lit(-1 << 62))
+    late = rows.agg(F.percentile_approx(at, 0.9)).first()[0]
+    early = p1_terms.one_per_doc(rows.where(at <= (late or 0)))
+    return p1_terms.TermCounts.of(early).updated(p1_terms.one_per_doc(rows), early)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = p1_terms.one_per_doc(table(spark, sf_dir, "indexed_docs"))
-    counts = p1_terms.TermCounts.of(docs)
-    return counts.marked().where("mark IS NOT NULL").select("term", "mark")
+    return _counts(spark, sf_dir).marked().where("mark IS NOT NULL").select("term", "mark")
 
 
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts as of the latest day but one, brought up to date by the delta of what was indexed since."""
-    docs = p1_terms.one_per_doc(table(spark, sf_dir, "indexed_docs"))
-    late = table(spark, sf_dir, "indexed_docs").agg(F.percentile_approx(F.unix_micros("indexed_at"), 0.9)).first()[0] or 0
-    early = p1_terms.one_per_doc(table(spark, sf_dir, "indexed_docs").where(F.unix_micros("indexed_at") <= late))
-    before = p1_terms.TermCounts.of(early)
-    return before.updated(docs, early).marked().select("term", "occurrences", "doc_freq", "mark")
+    return _counts(spark, sf_dir).marked().select("term", "occurrences", "doc_freq", "mark")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +112,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_neardups.NearDuplicates(table(spark, sf_dir, "input_docs"), 0.8, 5, 20).groups()
+    return p7_neardups.NearDuplicates(table(spark, sf_dir, "input_docs"), 0.7, 3, 20).groups()
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +123,13 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of languages and topics in the mixture, beside those of all records of its sources."""
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    sizes = written(p9_mixture.sized(docs, "byte_bpe_50k").join(targets.select("source").distinct(), "source", "left_semi"), "sizes")
+    return p9_mixture.marginals(p9_mix(spark, sf_dir), sizes)
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_mixture.shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
@@ -140,7 +150,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_forms, p3_contents, p4_found, p4_restored, p5_found, p5_scores, p6_found, p6_bodies, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_clean)
+    own = (p1_found, p1_counts, p2_found, p2_scores, p3_found, p3_forms, p3_contents, p4_found, p4_restored, p5_found, p5_scores, p6_found, p6_bodies, p7_found, p7_groups, p8_ids, p9_mix, p9_marginals, p9_shares, p10_found, p10_clean)
     return {f.__name__: f for f in own}
 
 

@@ -54,6 +54,16 @@ def test_deltas_lead_to_the_same_counts(spark):
     assert as_dict(gone) == {} and gone.n_docs == 0
 
 
+def test_only_touched_partitions_are_written(spark):
+    old = random_docs(50, 2)
+    a = P1.one_per_doc(table(spark, old))
+    first = P1.TermCounts.of(a)
+    second = first.updated(P1.one_per_doc(table(spark, [(777, {"t1": 1})])))
+    moved = {p for p in second.parts if second.parts[p] != first.parts.get(p)}
+    assert len(moved) == 1 and set(first.parts) - moved == set(second.parts) - moved
+    assert as_dict(first) == counted(old) and as_dict(second) == counted(old + [(777, {"t1": 1})])
+
+
 def test_later_rows_of_a_doc_count(spark):
     rows = spark.sql("SELECT 1L doc_id, map('a', 1) term_frequencies, timestamp'2024-01-01 00:00:00' indexed_at UNION ALL SELECT 1L, map('b', 2), timestamp'2024-01-02 00:00:00' UNION ALL SELECT 1L, map('c', 2), NULL")
     assert as_dict(P1.TermCounts.of(P1.one_per_doc(rows))) == {"b": (2, 1)}

@@ -55,11 +55,27 @@ def test_same_look_has_one_form():
     assert all(looks.form(looks.form(t)) == looks.form(t) for t in corpus)
 
 
+def test_forms_of_many_are_those_of_each():
+    corpus = [t for pair in FORMS for t in pair] * 2 + ["aeiou cps full café fine space difícil", "наш сор", "", "x" * 3000 + "é"] * 9
+    for own in (corpus, ["сор"] * 9 + ["cop"]):
+        looks = looks_of(own)
+        assert looks.forms(own) == [looks.form(t) for t in own]
+    assert looks_of([]).forms([" a "]) == ["a"]
+
+
 def test_frequent_member_represents_its_class():
     looks = looks_of(["сор"] * 9 + ["cop"])
     assert looks.form("cop") == "сор"
 
 
+def test_same_look_of_many_rows(spark, monkeypatch):
+    rows = [("c", i, "ab" if i % 2 else "аb") for i in range(40)]
+    df = spark.createDataFrame(rows, "component_id string, term_id bigint, text string").withColumn("compression", F.lit(None).cast("string"))
+    forms = P3.consistent(df, P3.lookalikes(df), ["component_id", "term_id"])
+    monkeypatch.setattr(P3, "SPLIT", 3)
+    assert {tuple(r) for r in P3.same_look(forms, "component_id", "term_id").collect()} == {(a, b) for a in range(40) for b in range(a + 1, 40) if (a + b) % 2}
+
+
 def test_same_look_pairs(spark):
     rows = [("c", 1, "ab"), ("c", 2, "аb"), ("c", 2, "аb"), ("c", 3, "ab"), ("d", 4, "ab"), ("c", 5, None), (None, 6, "ab"), ("c", 7, "AB"), ("c", 8, "")]
     df = spark.createDataFrame(rows, "component_id string, term_id bigint, text string").withColumn("compression", F.lit(None).cast("string")).withColumn("form", F.lit("clash"))
@@ -131,6 +147,16 @@ def test_misread_by_the_patterns():
         assert P4.misread(common.laid_out([t])[0]).tolist()[:-1] == want
 
 
+def test_strength_has_no_step():
+    # a pair that gains records, in collections of any size, gains strength bit by bit, from 0 on
+    for n in (1000, 29_000, 31_000, 10**6):
+        docs = np.array([k for k in range(1, max(400, n // 500))] + [n], float)
+        own = P4.PairModel(np.arange(1, len(docs) + 1, dtype=np.int64) * ((1 << 21) + 1), docs, n)
+        got = own.of_pairs(np.arange(1, len(docs), dtype=np.uint64) * np.uint64((1 << 21) + 1))
+        steps = np.diff(got)
+        assert got[0] == 0 and (steps >= -1e-6).all() and steps.max() < 10_000 / n * 15 + 1 and got[-1] > 2
+
+
 def test_segments():
     assert P4.best_segments([3, 4, 5, 90]) == [(3, 6), (90, 91)] and P4.best_segments([]) == []
     assert P4.best_segments([0, 4]) == [(0, 5)]
