@@ -14,7 +14,9 @@ from .common import written
 #: A term of at most so many records is rare; one of at least this share of all records is common.
 RARE, COMMON = 2, 0.25
 #: Partitions of the persistent counts.
-PARTS = 64
+PARTS = 16
+#: Ids up to which a list of them is broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 
 def one_per_doc(docs: DataFrame) -> DataFrame:
@@ -22,13 +24,16 @@ def one_per_doc(docs: DataFrame) -> DataFrame:
 
     Of several rows of a doc_id the latest indexed_at counts, of those the greatest map by hash. A null doc_id is no
     record; a null map is a record without terms. Other columns are left behind, whatever their names. Only ids are
-    counted for it; maps are compared, and move, of the ids that repeat.
+    counted for it; maps are compared, and move, of the ids that repeat, or all at once where more than BROADCAST_IDS do.
     """
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "term_frequencies", F.coalesce(F.unix_micros("indexed_at"), F.lit(-1 << 62)).alias("t"))
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
     age = F.struct("t", F.xxhash64(F.array_sort(F.map_entries("term_frequencies"))))
-    best = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("term_frequencies", age).alias("term_frequencies"))
-    return rows.join(again, "doc_id", "left_anti").select("doc_id", "term_frequencies").unionByName(best)
+    best = lambda r: r.groupBy("doc_id").agg(F.max_by("term_frequencies", age).alias("term_frequencies"))
+    if again.count() > BROADCAST_IDS:
+        return best(rows)
+    again = F.broadcast(again)
+    return rows.join(again, "doc_id", "left_anti").select("doc_id", "term_frequencies").unionByName(best(rows.join(again, "doc_id", "left_semi")))
 
 
 def postings(docs: DataFrame, *keep: str) -> DataFrame:
@@ -47,9 +52,10 @@ def deltas(new: DataFrame, old: DataFrame | None = None) -> DataFrame:
         signed = postings(new.withColumn("sign", F.lit(1)), "sign")
     else:
         # marks of all records, maps of the changed ones only
-        mark = F.xxhash64(F.array_sort(F.map_entries("term_frequencies")))
+        mark = F.xxhash64(F.map_entries("term_frequencies"))  # an equal map in another order only adds to 0
         n, o = new.select("doc_id", mark.alias("n")), old.select("doc_id", mark.alias("o"))
         changed = written(n.join(o, "doc_id", "full").where("NOT n <=> o").select("doc_id"), "changed-records")
+        changed = F.broadcast(changed) if changed.count() <= BROADCAST_IDS else changed
         of = lambda df, sign: df.join(changed, "doc_id", "left_semi").withColumn("sign", F.lit(sign))
         signed = postings(of(new, 1).unionByName(of(old, -1)), "sign")
     return signed.groupBy("term").agg(
