@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .p1_terms import BROADCAST_IDS
 from .p8_encode import encoded
 
 #: Languages that count as such; all else is "other", so that the table that is raked stays small.
@@ -78,9 +79,13 @@ def sized(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFra
     """(doc_id, source, language, topic, n_tokens) of each doc_id once, of the row of the least text. Ids are counted; only
     texts of ids that repeat are compared, all others go where they are to the tokenizer."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", "source", "lang", "host")
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    first = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang", "host")).alias("r"))
-    one = rows.join(again, "doc_id", "left_anti").unionByName(first.select("doc_id", "r.*"))
+    again = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    least = lambda r: r.groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang", "host")).alias("r")).select("doc_id", "r.*")
+    if again.count() > BROADCAST_IDS:
+        one = least(rows)
+    else:
+        again = F.broadcast(again)
+        one = rows.join(again, "doc_id", "left_anti").unionByName(least(rows.join(again, "doc_id", "left_semi")))
     flat = one.select(F.struct("doc_id", "source", language(F.col("lang")).alias("language"), topic(F.col("host")).alias("topic")).alias("doc"), "text")
     counted = flat.withColumn("doc", F.to_json("doc", {"ignoreNullFields": "false"}))
     counted = encoded(counted, "text", tokenizer, folder, key="doc", counts_only=True)
