@@ -48,6 +48,7 @@ _SEPARATED = re.compile(" [|»·•/>] |｜|\\S  +\\S")
 _CAPITALS = re.compile("(?<!\\S)[A-ZÀ-ÖØ-ÞΑ-ΩЀ-Я]\\S*")
 _BEFORE_COLON = re.compile(r"(.{2,40}?)\s?(?::|—|：) ?\S")
 _FOLD = {ord(a): b for a, b in _LATIN.items()} | {ord(c): None for c in INVISIBLE}
+_FOLDED = re.compile("[" + "".join(map(re.escape, map(chr, _FOLD))) + "]")
 FRAME, SHORT, TEXT, ALONE = range(4)
 
 
@@ -55,7 +56,8 @@ def folded(line: str) -> str:
     """A line without what can't be seen, width and script of letters; read again where it was wrongly decoded."""
     if line.isascii():
         return line.lower()
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", reread_all(line)).translate(_FOLD)).lower()
+    line = unicodedata.normalize("NFKC", reread_all(line))
+    return (unicodedata.normalize("NFC", line.translate(_FOLD)) if _FOLDED.search(line) else line).lower()
 
 
 def _own_tags(line: str) -> list[tuple[str, str]]:
