@@ -161,23 +161,25 @@ def _thresholds(part: DataFrame, missing: dict[str, float]) -> dict[str, tuple[f
     """For each source the key, and doc_id among equal keys, up to which the tokens come nearest to what is missing.
 
     Every round counts tokens in SLICES slices of each source's range in one pass and narrows it to the slice where the
-    target lies; at most (sources x SLICES) numbers come to the driver.
+    target lies; at most (sources x SLICES) numbers come to the driver. A range goes from its least key to its greatest,
+    both inside, so that they fall into different slices. Keys outside are left out before they are cut into slices: in a
+    narrow range they are further away than an integer counts.
     """
     spark = part.sparkSession
-    ranges = {r.source: (0.0, r.hi, 0.0, r.n) for r in part.where("key IS NOT NULL").groupBy("source").agg(F.max("key").alias("hi"), F.count("*").alias("n")).collect()}
+    ranges = {r.source: (0.0, r.hi, 0.0) for r in part.where("key IS NOT NULL").groupBy("source").agg(F.max("key").alias("hi")).collect()}
     done: dict[str, tuple[float, int]] = {s: (-1.0, -1) for s in missing}
-    ranges = {s: (lo, hi * (1 + 1e-12), sofar, n) for s, (lo, hi, sofar, n) in ranges.items() if missing.get(s, 0) > 0}
+    ranges = {s: r for s, r in ranges.items() if missing.get(s, 0) > 0}
     while ranges:
-        rows = [(s, lo, (hi - lo) / SLICES) for s, (lo, hi, _, _) in ranges.items()]
-        at = spark.createDataFrame(rows, "source string, lo double, step double")
-        slot = F.floor((F.col("key") - F.col("lo")) / F.col("step")).cast("int")
-        hist = part.join(F.broadcast(at), "source").withColumn("slot", slot).where((F.col("slot") >= 0) & (F.col("slot") < SLICES))
+        rows = [(s, lo, hi) for s, (lo, hi, _) in ranges.items()]
+        at = spark.createDataFrame(rows, "source string, lo double, hi double")
+        slot = F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLICES)
+        hist = part.join(F.broadcast(at), "source").where("key BETWEEN lo AND hi").withColumn("slot", F.least(slot, F.lit(SLICES - 1)))
         hist = hist.groupBy("source", "slot").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"), F.max("doc_id").alias("doc"))
         slots: dict[str, list] = defaultdict(list)
         for r in hist.collect():
             slots[r.source].append(r)
         following = {}
-        for s, (lo, hi, sofar, _) in ranges.items():
+        for s, (_, _, sofar) in ranges.items():
             below = None
             for r in sorted(slots[s], key=lambda r: r.slot):
                 if sofar + r.t > missing[s]:
@@ -185,8 +187,7 @@ def _thresholds(part: DataFrame, missing: dict[str, float]) -> dict[str, tuple[f
                         take = sofar + r.t - missing[s] < missing[s] - sofar
                         below = (r.most, r.doc) if take else done[s]
                     else:
-                        step = (hi - lo) / SLICES
-                        following[s] = (r.least, r.most + (r.most - r.least) * 1e-9, sofar, r.n) if r.most > r.least else (lo, lo + step, sofar, r.n)
+                        following[s] = (r.least, r.most, sofar)
                     break
                 sofar += r.t
                 done[s] = (r.most, r.doc)

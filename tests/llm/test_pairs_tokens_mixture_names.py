@@ -1,4 +1,5 @@
 import base64
+import math
 import os
 import random
 import re
@@ -153,6 +154,34 @@ def test_mixture_reaches_its_shares(spark):
     assert P9.mixture(docs, none).count() == 0 and P9.mixture(docs.where("false"), targets).count() == 0 and P9.mixture(docs, targets.where("false")).count() == 0
 
 
+def test_thresholds_are_found_between_keys_that_lie_close(spark):
+    rng = random.Random(10)
+    close = [0.5]
+    for _ in range(5):
+        close.append(math.nextafter(close[-1], 1))
+    keys = {"close": [1e-6, 0.25, *close, 1.0, 7e8], "alike": [0.25, 0.5, 0.5, 0.5, 0.75], "many": [rng.random() ** 9 for _ in range(2000)], "one": [0.3], "whole": [None, None]}
+    rows = [(i, s, rng.randint(1, 50), k) for i, (s, k) in enumerate((s, k) for s, ks in keys.items() for k in ks)]
+    part = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, key double")
+
+    def nearest(s, want):
+        each = defaultdict(int)
+        for _, source, n, k in rows:
+            if source == s and k is not None:
+                each[k] += n
+        sofar, last = 0, -1.0
+        for k in sorted(each):
+            if sofar + each[k] > want:
+                return k if sofar + each[k] - want < want - sofar else last
+            sofar, last = sofar + each[k], k
+        return last
+
+    tokens = {s: sum(r[2] for r in rows if r[1] == s) for s in keys}
+    for share in (0.0, 0.3, 0.45, 0.6, 0.8, 1.1):
+        missing = {s: share * n for s, n in tokens.items()}
+        want = {s: nearest(s, m) if m > 0 else -1.0 for s, m in missing.items()}
+        assert {s: k for s, (k, _) in P9._thresholds(part, missing).items()} == want
+
+
 def test_raking_meets_marginals_and_caps():
     cells = {(s, l, t): 10.0 + len(s) + 3 * k for k, (s, l, t) in enumerate((s, l, t) for s in "ab" for l in "xy" for t in "uv")}
     f = P9.raked(cells, {"a": 0.8, "b": 0.2}, {"a": 2, "b": 1}, 100.0)
